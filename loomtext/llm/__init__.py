@@ -11,7 +11,7 @@ import loomtext
 # tasks carry the library's functions by value: executors need no copy of the repository
 cloudpickle.register_pickle_by_value(loomtext)
 
-MODULES = ("simhash", "chat", "substring", "mixing", "decontaminate", "exact", "tokens")
+MODULES = ("simhash", "langid", "chat", "substring", "mixing", "decontaminate", "toxicity", "exact", "tokens", "quality")
 
 
 def _loaded():

@@ -68,36 +68,45 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, percent: int = 5, max_bytes: int = 64 << 20) -> DataFrame:
-    """(id, n_words, n_hit, items array<string>, spans, contaminated) for every row.
-
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``size`` consecutive words of an
-    item, or all of a shorter one. A row is contaminated if it has hit words and they are ``percent`` of its words or more. Null
-    has no words; an item without words has no window; rows that repeat are scanned each. Benchmark
-    items go to every task: their total size is checked against ``max_bytes`` first.
-    """
+def shipped_items(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", size: int = 13, max_bytes: int = 64 << 20):
+    """A function that gives a task its automaton. Items go to every task: their total size is checked against ``max_bytes`` first."""
     bench = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > max_bytes:
         raise ValueError(f"the benchmark has {total} bytes, over max_bytes={max_bytes}; scan it in parts")
     listed = sorted({(r.item, r.text) for r in bench.collect() if r.item is not None}, key=str)
     stamp = hashlib.sha256(repr((size, listed)).encode()).hexdigest()
-    shipped = docs.sparkSession.sparkContext.broadcast(listed)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    shipped = items.sparkSession.sparkContext.broadcast(listed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def machine():
         known = process_cache("automata")
         if stamp not in known:
             known.clear()
             known[stamp] = automaton(shipped.value, size)
-        machine = known[stamp]
+        return known[stamp]
+
+    return machine
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, **about) -> DataFrame:
+    """(id, n_words, n_hit, items array<string>, spans, contaminated) for every row.
+
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``size`` consecutive words of an
+    item, or all of a shorter one. A row is contaminated if it has hit words and they are ``percent`` of its words or more. Null
+    has no words; an item without words has no window; rows that repeat are scanned each.
+    """
+    machine = shipped_items(items, **about)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = machine()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             out = []
             for t in b.column(1):
                 t = t.as_py()
-                n, runs, found = scan(t, machine)
+                n, runs, found = scan(t, tree)
                 out.append((n, sum(e - s for s, e in runs), sorted(found), original_spans(t, runs) if runs else []))
             n, hit, found, spans = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)], names=["id", "n_words", "n_hit", "items", "spans"])
@@ -106,6 +115,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", percent: int = 5, **about) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, in one scan, with all their columns."""
+    machine, at = shipped_items(items, **about), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = machine()
+        for b in batches:
+            keep = []
+            for t in b.column(at):
+                n, runs, _ = scan(t.as_py(), tree)
+                hit = sum(e - s for s, e in runs)
+                keep.append(not (hit and 100 * hit >= percent * n))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

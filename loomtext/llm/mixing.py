@@ -35,8 +35,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     return t.select("source", "source_size", F.least(F.col("held") * F.col("w"), (F.lit(most) * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
-    """(id, source, size, source_size, target, epochs, taken) for every row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, row_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, epochs, taken) for every row, and ``row_col`` if named.
 
     Sizes count the words ``[^\\x20\\x09-\\x0D]+`` (null: 0). Rows get the key md5(seed:id) and are range-sorted by
     (source, key, id); running sums within a range, plus the sums of the ranges before it, give each row's
@@ -47,7 +47,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), *([row_col] if row_col else []))
     rows = saved(rows, "sizes")
     rows = saved(rows.repartitionByRange(F.col("source").asc_nulls_last(), "key", "id", "size").withColumn("range", F.spark_partition_id()), "ranges")
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -64,7 +64,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     middle = F.col("before") + F.col("until") - F.col("size") / 2
     epochs = whole + F.when(middle <= left, 1).otherwise(0)
     epochs = F.least(epochs, F.lit(most)).cast("long")
-    return rows.select("id", "source", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
+    return rows.select(*([row_col] if row_col else []), "id", "source", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **about) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Rows are numbered in a written copy, so repeated ids stay apart."""
+    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    epochs = mix(numbered, row_col="__row", **about).where("epochs > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))).alias("__epoch"))
+    return numbered.join(epochs, "__row").select(*docs.columns)
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

@@ -165,6 +165,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named.join(least, "root").select("fp", "component"), "fp")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **about) -> DataFrame:
+    """The rows of ``docs`` with one of each component: the smallest id's; of rows that repeat this id, one."""
+    found = near_duplicates(docs, id_col=id_col, **about)
+    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
