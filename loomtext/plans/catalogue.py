@@ -1,6 +1,337 @@
-"""The library's queries over the driver's tables, and the SQL that gives the same rows."""
+"""The library's queries over the driver's tables, and the SQL that gives the same rows.
+
+The tables hold no terminal output, so transcripts are made of ``events``: one line per event and user.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import estimate_tokens, size16
+from ..operators import cleaners, context, detect, stores
+from ..operators import optimize as opt
+from ..sources.files import envelope, workload_report
+from ..streaming.terminal import clean_batch
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LINE = """concat('[00:00:00] ', CASE WHEN event_id % 5 = 0 THEN concat(chr(27), '[31m', event_type, chr(27), '[0m') ELSE event_type END,
+  CASE WHEN event_id % 17 = 0 THEN '    ' ELSE ' ' END, 'stage queued', CASE WHEN event_id % 7 = 0 THEN '   ' ELSE '' END, CASE WHEN event_id % 13 = 0 THEN concat(chr(10), chr(10), chr(10)) ELSE '' END)"""
+T_SQL = f"transcripts AS (SELECT user_id, string_agg({LINE}, chr(10) ORDER BY event_id) AS text FROM events GROUP BY user_id)"
+
+
+def transcripts(spark, sf_dir: str) -> DataFrame:
+    """A transcript per user, in event order."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.expr(LINE.replace("chr(27)", r"'\u001b'").replace("chr(10)", r"'\n'")).alias("line")).alias("l"))
+    return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("l"))["line"], "\n").alias("text"))
+
+
+def shaped(spark, sf_dir: str, kind: str) -> DataFrame:
+    """Reports made of events: passing tests, Go runs, stack frames or repeated blocks, per user."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    line = {
+        "tests": F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("suite "), "event_type")).otherwise(F.concat(F.lit("  ✓ handles "), "event_type")),
+        "frames": F.when(F.col("event_id") % 6 == 0, "Error: lost").otherwise(F.concat(F.lit("    at "), "event_type", F.lit(" (app.js:10:5)"))),
+        "blocks": F.concat(F.lit("step one of many\nstep two of "), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.lit("many"))),
+    }[kind]
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    return rows.select("user_id", F.array_join(F.col("l.line"), "\n").alias("text"))
+
+
+# RE2 forms of the line shapes, for texts whose white space is ASCII
+_COUNTS = r"""lines AS (SELECT {id} AS id, unnest(string_split_regex(text, '\r?\n')) AS l FROM {t}),
+counts AS (SELECT id, count(*) AS n,
+  count(*) FILTER (regexp_matches(l, '^(\s*[✓√✔×✗✘✕]\s|(PASS|FAIL)\b|\S+::\S+\s+(PASSED|FAILED)(\s|$)|\s*---\s+(PASS|FAIL):\s+\S|test\s+\S+\s+\.\.\.\s+(ok|FAILED)$)')) AS tests,
+  count(*) FILTER (regexp_matches(l, '^\s*(Test Files|Tests[:\s]|Snapshots\s|Test Suites|=+\s+\d+\s+(passed|failed)|test result:|ok\s+\S)')) AS summaries,
+  count(*) FILTER (regexp_matches(l, '^\s*at\s.|^\s+File\s".+",\sline\s\d+,\sin\s')) AS frames, count(*) FILTER (regexp_matches(l, '\b(Error|Exception|Traceback)\b')) AS headers,
+  count(*) FILTER (regexp_matches(l, '^\s*((import|export|const|let|var|function|class|interface|type|return|case)\s|(if|for|while|switch)\s*\(|=>)')) AS code,
+  count(*) FILTER (contains(l, chr(27) || '[')) AS ansi,
+  count(*) FILTER (regexp_matches(l, '^(\[\d\d:\d\d:\d\d(\.\d+)?\]|#\d+\s|npm\s+((WARN|warn|error|notice)\b|ERR!\w)|Level\s+\d+\s+progress:|(added|removed|changed)\s+\d+\s+packages?\b|up to date|found\s+\d+\s+vulnerabilit)')) AS terminal,
+  count(*) FILTER (regexp_matches(trim(l, ' ' || chr(9)), '[.!?]["'')]?\s*$')) AS prose FROM lines GROUP BY id),
+detected AS (SELECT {id} AS id, text, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR (length(text) < 200 AND n <= 3) THEN 'unknown/high'
+  WHEN tests >= 3 OR (tests >= 1 AND summaries >= 1) THEN 'test-output/' || CASE WHEN tests >= 8 THEN 'high' ELSE 'medium' END
+  WHEN frames >= 3 THEN 'stack-trace/' || CASE WHEN headers < 1 THEN 'low' WHEN frames >= 5 THEN 'high' ELSE 'medium' END
+  WHEN (code >= 0.4 * n AND code >= 6) OR (code >= 0.8 * n AND code >= 3) THEN 'source-code/' || CASE WHEN code >= 20 THEN 'high' ELSE 'medium' END
+  WHEN ansi > 0 OR (terminal >= 3 AND terminal >= 0.25 * n) THEN 'generic-terminal-output/high'
+  WHEN prose >= 0.6 * n AND prose >= 2 AND length(text) >= 120 THEN 'unknown/medium' ELSE 'generic-terminal-output/medium' END AS label
+  FROM {t} JOIN counts ON counts.id = {id})"""
+T_DETECT = T_SQL + ", " + _COUNTS.replace("{t}", "transcripts").replace("{id}", "user_id")
+_HIGH = "label = 'generic-terminal-output/high'"
+_STRIP = rf"""stripped AS (SELECT *, regexp_replace(text, '\x1b\[[^\x40-\x7e]*[\x40-\x7e]', '', 'g') AS a, len(regexp_extract_all(text, '\x1b\[[^\x40-\x7e]*[\x40-\x7e]')) AS n_ansi FROM detected)"""
+_SPACE = rf"""spaced1 AS (SELECT *, CASE WHEN {_HIGH} THEN regexp_replace(a, '[\t ]+(\n|$)', '\1', 'g') ELSE a END AS b, CASE WHEN {_HIGH} THEN len(regexp_extract_all(a, '[\t ]+(\n|$)')) ELSE 0 END AS n1 FROM stripped),
+spaced2 AS (SELECT *, CASE WHEN {_HIGH} THEN regexp_replace(b, '([\t ]*\n){{3,}}', chr(10) || chr(10), 'g') ELSE b END AS c, CASE WHEN {_HIGH} THEN len(regexp_extract_all(b, '([\t ]*\n){{3,}}')) ELSE 0 END AS n2 FROM spaced1),
+spaced AS (SELECT *, CASE WHEN {_HIGH} THEN regexp_replace(c, '(\S) {{3,}}(\S)', '\1 \2', 'g') ELSE c END AS w, n1 + n2 + CASE WHEN {_HIGH} THEN len(regexp_extract_all(c, '(\S) {{3,}}(\S)')) ELSE 0 END AS n_white FROM spaced2)"""
+_DUPES = r"""dl AS (SELECT id, i, string_split_regex(w, '\n')[i] AS l FROM spaced, unnest(range(1, len(string_split_regex(w, '\n')) + 1)) AS r(i)),
+marked AS (SELECT *, CASE WHEN l IS NOT DISTINCT FROM lag(l) OVER (PARTITION BY id ORDER BY i) AND i > 1 THEN 0 ELSE 1 END AS new FROM dl),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS g FROM marked),
+folded AS (SELECT id, g, any_value(l) AS l, count(*) AS n FROM grouped GROUP BY id, g),
+judged AS (SELECT *, n >= 2 AND l <> '' AND NOT regexp_matches(l, '\[repeated \d+ times\]$') AND NOT regexp_matches(l, '(?i)\b(error|warning|failed?|lost|closed|dead-letter|retrying|acknowledged|status)\b')
+  AND length(l) * n > length(l) + length(' [repeated ' || n || ' times]') AS c FROM folded),
+collapsed AS (SELECT id, string_agg(CASE WHEN c THEN l || ' [repeated ' || n || ' times]' ELSE rtrim(repeat(l || chr(10), n), chr(10)) || CASE WHEN l = '' THEN repeat(chr(10), n - 1) ELSE '' END END, chr(10) ORDER BY g) AS d, count(*) FILTER (c) AS n_dup FROM judged GROUP BY id),
+safe AS (SELECT s.*, CASE WHEN label = 'generic-terminal-output/high' AND n_dup > 0 THEN d ELSE w END AS o, CASE WHEN label = 'generic-terminal-output/high' THEN n_dup ELSE 0 END AS n_dup FROM spaced s JOIN collapsed USING (id))"""
+SAFE = f"WITH {T_DETECT}, {_STRIP}, {_SPACE}, {_DUPES}"
+
+
+def cleaned(df: DataFrame, *names: str) -> DataFrame:
+    """Some cleaners in order, with the raw text's detection."""
+    df = detect.detect(df)
+    for n in names:
+        df = cleaners.CLEANERS[n](df, "text", "detection", f"n_{n.replace('-', '_')}")
+    return df
+
+
+@query(f"WITH {T_DETECT} SELECT id AS user_id, split_part(label, '/', 1) AS type, split_part(label, '/', 2) AS confidence FROM detected")
+def content_detection(spark, sf_dir):
+    return detect.detect(transcripts(spark, sf_dir)).select("user_id", "detection.type", "detection.confidence")
+
+
+@query("WITH " + _COUNTS.replace("{t}", "documents").replace("{id}", "doc_id") + " SELECT id AS doc_id, label FROM detected")
+def document_detection(spark, sf_dir):
+    return detect.detect(table(spark, sf_dir, "documents")).select("doc_id", F.concat_ws("/", "detection.type", "detection.confidence").alias("label"))
+
+
+@query(f"WITH {T_DETECT}, {_STRIP} SELECT id AS user_id, a AS text, n_ansi FROM stripped")
+def ansi_strip(spark, sf_dir):
+    return cleaned(transcripts(spark, sf_dir), "ansi").select("user_id", "text", "n_ansi")
+
+
+@query(f"WITH {T_DETECT}, {_STRIP}, {_SPACE} SELECT id AS user_id, w AS text, n_white AS n_whitespace FROM spaced")
+def whitespace_normalize(spark, sf_dir):
+    return cleaned(transcripts(spark, sf_dir), "ansi", "whitespace").select("user_id", "text", "n_whitespace")
+
+
+@query(f"{SAFE} SELECT id AS user_id, o AS text, n_dup AS n_duplicate_lines FROM safe")
+def duplicate_lines(spark, sf_dir):
+    return cleaned(transcripts(spark, sf_dir), "ansi", "whitespace", "duplicate-lines").select("user_id", "text", "n_duplicate_lines")
+
+
+@query(f"""{SAFE} SELECT id AS user_id, o AS optimized_text, length(text) AS original_characters, length(o) AS optimized_characters,
+  floor((length(text) - length(o)) / length(text) * 1000 + 0.5) / 10 AS reduction_percentage, n_ansi AS ansi, n_white AS whitespace, n_dup AS duplicates FROM safe""")
+def optimize_safe(spark, sf_dir):
+    d = F.col("decisions.changes")
+    return opt.optimize(transcripts(spark, sf_dir)).select("user_id", "optimized_text", "stats.original_characters", "stats.optimized_characters", "stats.reduction_percentage", d[0].alias("ansi"), d[1].alias("whitespace"), d[2].alias("duplicates"))
+
+
+@query(r"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 9 = 0 THEN 'suite ' || event_type ELSE '  ✓ handles ' || event_type END AS l, event_id % 9 <> 0 AS p FROM events),
+g AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS k, count(*) FILTER (p) OVER (PARTITION BY user_id) AS tests FROM t),
+r AS (SELECT user_id, k, p, min(i) AS i, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS s, any_value(tests) AS tests, sum(length(l)) AS chars FROM g GROUP BY user_id, k, p)
+SELECT user_id, string_agg(CASE WHEN p AND n >= 3 AND tests >= 3 AND length('  ✓ ' || n || ' test cases passed') < chars THEN '  ✓ ' || n || ' test cases passed' ELSE s END, chr(10) ORDER BY i) AS text,
+  count(*) FILTER (p AND n >= 3 AND tests >= 3 AND length('  ✓ ' || n || ' test cases passed') < chars) AS n_test_output FROM r GROUP BY user_id""")
+def passing_tests(spark, sf_dir):
+    return cleaned(shaped(spark, sf_dir, "tests"), "test-output").select("user_id", "text", "n_test_output")
+
+
+@query(r"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 6 = 0 THEN 'Error: lost' ELSE '    at ' || event_type || ' (app.js:10:5)' END AS l, event_id % 6 <> 0 AS f FROM events),
+m AS (SELECT *, CASE WHEN f AND l IS NOT DISTINCT FROM lag(l) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS new, count(*) FILTER (f) OVER (PARTITION BY user_id) AS frames FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS k FROM m),
+r AS (SELECT user_id, k, any_value(l) AS l, any_value(f) AS f, count(*) AS n, any_value(frames) AS frames, min(i) AS i, string_agg(l, chr(10) ORDER BY i) AS s FROM g GROUP BY user_id, k),
+j AS (SELECT *, f AND frames >= 3 AND n >= 2 AND length(l) * n > length(l) + length(' [repeated ' || n || ' times]') AS c FROM r)
+SELECT user_id, string_agg(CASE WHEN c THEN l || ' [repeated ' || n || ' times]' ELSE s END, chr(10) ORDER BY i) AS text, count(*) FILTER (c) AS n_stack_trace FROM j GROUP BY user_id""")
+def stack_frames(spark, sf_dir):
+    return cleaned(shaped(spark, sf_dir, "frames"), "stack-trace").select("user_id", "text", "n_stack_trace")
+
+
+@query()
+def repeated_blocks(spark, sf_dir):
+    return cleaned(shaped(spark, sf_dir, "blocks"), "repeated-blocks").select("user_id", "text", "n_repeated_blocks")
+
+
+@query()
+def optimize_balanced(spark, sf_dir):
+    return opt.optimize(shaped(spark, sf_dir, "tests").unionByName(shaped(spark, sf_dir, "frames")), preset="balanced", tokens=True).select("user_id", "optimized_text", "stats", "transformations")
+
+
+@query()
+def optimize_aggressive(spark, sf_dir):
+    return opt.optimize(shaped(spark, sf_dir, "blocks"), preset="aggressive").select("user_id", "optimized_text", "stats", "decisions")
+
+
+@query(r"""SELECT doc_id, length(text) AS size, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor((length(text) / 4 + len(regexp_extract_all(text, '[^\s\x0b]+'))) / 2 + 0.5)) END::BIGINT AS tokens FROM documents""")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", size16(F.col("text")).alias("size"), estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) AND regexp_matches(trim(props), '^[{\\[]') THEN 'json' ELSE 'text' END AS kind FROM events")
+def structured_kind(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", detect.structured_kind(F.col("props")).alias("kind"))
+
+
+PRETTY = r"concat(' { ', '\n', '  \"type\" : \"', event_type, ' \\\" x\" ,', '\n', '  \"props\" : ', props, ' }', '\n')"
+
+
+@query(r"""SELECT event_id, 'json' AS kind, '{"type":"' || event_type || ' \" x","props":' || replace(props, ' ', '') || '}' AS optimized_text FROM events""")
+def json_compact(spark, sf_dir):
+    pretty = F.concat(F.lit(' { \n  "type" : "'), "event_type", F.lit(' \\" x" ,\n  "props" : '), "props", F.lit(" }\n"))
+    return opt.optimize_structured(table(spark, sf_dir, "events").select("event_id", pretty.alias("text"))).select("event_id", "kind", "optimized_text")
+
+
+_COMMAND = """CASE event_type WHEN 'click' THEN '/usr/bin/Git log -p' WHEN 'view' THEN 'npm run test --all' WHEN 'purchase' THEN 'pytest -q' WHEN 'error' THEN 'docker logs web' ELSE ' unknown-tool x' END"""
+
+
+@query(f"""WITH c AS (SELECT event_id, {_COMMAND} AS command FROM events)
+SELECT event_id, CASE WHEN command LIKE '%Git%' THEN 'version-control' WHEN command LIKE 'npm%' OR command LIKE 'pytest%' THEN 'test' WHEN command LIKE 'docker%' THEN 'logs' ELSE 'unknown' END AS family,
+  CASE WHEN command LIKE '%Git%' THEN 'git' WHEN command LIKE 'npm%' THEN 'npm' WHEN command LIKE 'pytest%' THEN 'pytest' WHEN command LIKE 'docker%' THEN 'docker' ELSE 'unknown-tool' END AS executable,
+  CASE WHEN command LIKE 'npm%' OR command LIKE 'pytest%' OR command LIKE 'docker%' THEN 'balanced' ELSE 'safe' END AS preset,
+  CASE WHEN command LIKE 'npm%' THEN 'medium' WHEN command LIKE '%unknown%' THEN 'low' ELSE 'high' END AS confidence FROM c""")
+def command_profile(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", detect.command_profile(F.expr(_COMMAND)).alias("p"))
+    return e.select("event_id", "p.*")
+
+
+@query()
+def context_router(spark, sf_dir):
+    rows = transcripts(spark, sf_dir).withColumn("command", F.when(F.col("user_id") % 2 == 0, "git log"))
+    return opt.optimize_context(rows, command="command").select("user_id", "optimized_text", "strategy", "kind")
+
+
+@query()
+def markdown_segments(spark, sf_dir):
+    rows = transcripts(spark, sf_dir).select("user_id", F.concat(F.lit("# Log\n\n~~~\nkept   as it is\n~~~\n```console\n"), "text", F.lit("\n```\nEnd.\n")).alias("text"))
+    return opt.optimize_segments(rows, "user_id")
+
+
+@query("""SELECT conv_id, coalesce(sum(length(text)) FILTER (role IN ('user', 'tool')), 0)::BIGINT AS original_characters, coalesce(sum(length(text)) FILTER (role IN ('user', 'tool')), 0)::BIGINT AS optimized_characters,
+  0.0::DOUBLE AS reduction_percentage FROM conversations GROUP BY conv_id""")
+def message_totals(spark, sf_dir):
+    return opt.message_totals(opt.optimize_messages(table(spark, sf_dir, "conversations")))
+
+
+@query(f"""{SAFE} SELECT id AS user_id, o <> text AS changed, sha256(text) AS original_sha256, sha256(o) AS candidate_sha256, sha256(text) AS delivered_sha256, length(o) AS candidate_characters FROM safe""")
+def audit_shadow(spark, sf_dir):
+    e = opt.audited(transcripts(spark, sf_dir), mode="shadow").select("user_id", "evidence")
+    return e.select("user_id", *(f"evidence.{c}" for c in ("changed", "original_sha256", "candidate_sha256", "delivered_sha256", "candidate_characters")))
+
+
+@query(f"{SAFE} SELECT DISTINCT sha256(text) AS original_sha256, text AS original FROM safe WHERE o <> text")
+def retrievable_originals(spark, sf_dir):
+    return opt.retrievable(transcripts(spark, sf_dir))[1]
+
+
+_TERMS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_./:-]+'))"
+
+
+@query(rf"""WITH q AS (SELECT {_TERMS.format('text')} AS q FROM benchmark WHERE item_id = 0),
+s AS (SELECT doc_id, source, len(list_intersect({_TERMS.format('text')}, q)) / len(q) * 0.7 + (doc_id % 10) / 10 * 0.2 + 0.0 * 0.1 AS score FROM documents, q)
+SELECT doc_id, source, round(score, 9) AS score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s""")
+def rank_context(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("q"))
+    rows = table(spark, sf_dir, "documents").join(F.broadcast(q)).withColumn("p", (F.col("doc_id") % 10) / 10)
+    return context.ranked(rows, "q", "text", "p", group="source", index="doc_id").select("doc_id", "source", F.round("score", 9).alias("score"), "rank")
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor((length(text) / 4 + len(regexp_extract_all(text, '\S+'))) / 2 + 0.5)) END::BIGINT AS tokens, (turn % 3)::DOUBLE AS score, role = 'system' AS req FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY req DESC, score / greatest(1, tokens) DESC, score DESC, turn) AS k FROM t),
+f AS (SELECT conv_id, turn, k, tokens <= 200 AS selected, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.turn, o.k, f.used + o.tokens <= 200, f.used + CASE WHEN f.used + o.tokens <= 200 THEN o.tokens ELSE 0 END FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1)
+SELECT conv_id, turn, selected FROM f""")
+def budget_fit(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("tokens", estimate_tokens(F.col("text"))).withColumn("score", (F.col("turn") % 3).cast("double")).withColumn("req", F.col("role") == "system")
+    return context.fit_budget(rows, "conv_id", 200, required="req", index="turn").select("conv_id", "turn", "selected")
+
+
+@query()
+def conversation_compact(spark, sf_dir):
+    return context.compact_conversations(table(spark, sf_dir, "conversations"), 300).select("conv_id", "turn", "tokens", "selected", "compacted_text")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+p AS (SELECT query_id, vec_id AS id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(q, q) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS s FROM embeddings, q),
+r AS (SELECT query_id, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS rank FROM p)
+SELECT query_id, similarity, rank FROM r WHERE rank <= 5""")
+def vector_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    out = context.vector_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, doc_id="vec_id")
+    return out.select("query_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+_ROUTES = [(0, "small", 40_000, 0.5, 1.0, ["text"]), (1, "tools", 80_000, 1.0, 2.0, ["text", "tools"]), (2, "large", 400_000, 3.0, 1.5, ["text", "tools", "vision"]), (3, "free", 60_000, None, None, None)]
+
+
+@query("""WITH routes(idx, id, most, cost, caps) AS (VALUES (0, 'small', 40000, 0.5, ['text']), (1, 'tools', 80000, 1.0, ['text', 'tools']), (2, 'large', 400000, 3.0, ['text', 'tools', 'vision']), (3, 'free', 60000, 'inf'::DOUBLE, [])),
+req AS (SELECT o_orderkey AS request_id, floor(o_totalprice)::BIGINT AS tokens, CASE o_orderkey % 3 WHEN 0 THEN ['text'] WHEN 1 THEN ['tools', 'text'] ELSE [] END AS required FROM orders),
+j AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY cost, idx) AS k, count(id) OVER (PARTITION BY request_id) AS candidates FROM req LEFT JOIN routes ON most >= tokens AND list_has_all(caps, required))
+SELECT request_id, id AS route_id, candidates FROM j WHERE k = 1""")
+def model_route(spark, sf_dir):
+    routes = spark.createDataFrame(_ROUTES, "idx int, id string, max_context_tokens long, input_cost double, priority double, capabilities array<string>")
+    required = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("text"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("tools"), F.lit("text"))).otherwise(F.array().cast("array<string>"))
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.floor("o_totalprice").cast("long").alias("input_tokens"), required.alias("required"))
+    return context.route_models(requests, routes, "cost")
+
+
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type IN ('view', 'click')) = 0 THEN 0.0 ELSE floor(count(*) FILTER (event_type = 'view') / count(*) FILTER (event_type IN ('view', 'click')) * 100 * 100 + 0.5) / 100 END AS hit_percentage FROM events GROUP BY user_id""")
+def cache_hit_rate(spark, sf_dir):
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("h"), F.count_if(F.col("event_type") == "click").alias("m"))
+    return g.select("user_id", context.cache_hit_percentage(F.col("h"), F.col("m")).alias("hit_percentage"))
+
+
+@query(f"""{SAFE} SELECT count(*) AS cases, avg(length(text) % 7)::DOUBLE AS mean_original, avg(length(o) % 7)::DOUBLE AS mean_optimized, round((sum(length(text)) - sum(length(o))) / sum(length(text)) * 100, 6) AS aggregate_reduction,
+  count(*) FILTER (length(o) % 7 < length(text) % 7) AS failed_cases, round(avg(length(o) % 7) - avg(length(text) % 7), 6) AS mean_delta,
+  avg(length(o) % 7) - avg(length(text) % 7) >= 0 AND count(*) FILTER (length(o) % 7 < length(text) % 7) = 0 AND (sum(length(text)) - sum(length(o))) / sum(length(text)) * 100 >= 1 AS passed FROM safe""")
+def quality_gate(spark, sf_dir):
+    rows = opt.optimize(transcripts(spark, sf_dir)).select("stats.*")
+    rows = rows.withColumn("original_score", (F.col("original_characters") % 7).cast("double")).withColumn("optimized_score", (F.col("optimized_characters") % 7).cast("double"))
+    out = context.quality_gate(rows, 1.0)
+    return out.withColumn("aggregate_reduction", F.round("aggregate_reduction", 6)).withColumn("mean_delta", F.round("mean_delta", 6))
+
+
+@query(f"""{SAFE}, x AS (SELECT id AS user_id, floor((length(text) - length(o)) / length(text) * 10000 + 0.5) / 100 < 20 AS a, strlen(o) > 1000 AS b FROM safe)
+SELECT user_id, NOT a AND NOT b AS passed, concat_ws(',', CASE WHEN a THEN 'reduction' END, CASE WHEN b THEN 'bytes' END) AS failures FROM x""")
+def policy_check(spark, sf_dir):
+    out = context.policy(opt.optimize(transcripts(spark, sf_dir)), minimum_reduction=20, max_output_bytes=1000)
+    return out.select("user_id", "passed", F.array_join("failures", ",").alias("failures"))
+
+
+@query(f"""{SAFE}, x AS (SELECT 'w' || id % 3 AS workload, 'safe' AS preset, length(text) AS a, length(o) AS b FROM safe)
+SELECT workload, preset, sum(a)::BIGINT AS original_characters, sum(b)::BIGINT AS optimized_characters, floor((sum(a) - sum(b)) / sum(a) * 1000 + 0.5) / 10 AS reduction_percentage FROM x GROUP BY GROUPING SETS ((workload, preset), (preset), ())""")
+def workload(spark, sf_dir):
+    rows = opt.optimize(transcripts(spark, sf_dir)).select(F.concat(F.lit("w"), (F.col("user_id") % 3).cast("string")).alias("workload"), F.lit("safe").alias("preset"), "stats.*")
+    return workload_report(rows)
+
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+SELECT conv_id, count(*) AS stable_prefix_messages, sha256(string_agg(to_json([role, text])::VARCHAR, chr(10) ORDER BY i)) AS prefix_sha256 FROM f WHERE i <= 2 GROUP BY conv_id""")
+def prompt_prefix_hash(spark, sf_dir):
+    return context.prompt_prefix(table(spark, sf_dir, "conversations"))
+
+
+def access_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), F.when(F.col("event_type") == "view", "get").otherwise("put").alias("op"), F.concat(F.lit("context "), (F.col("event_id") % 6).cast("string")).alias("text"))
+
+
+@query()
+def store_replay(spark, sf_dir):
+    return stores.replay_store(access_log(spark, sf_dir), max_entries=4, max_bytes=40, ttl=3_600_000.0 * 24)
+
+
+@query()
+def semantic_cache_replay(spark, sf_dir):
+    log = access_log(spark, sf_dir).withColumn("key", F.concat(F.lit("k"), (F.col("seq") % 11).cast("string"))).withColumn("embedding", F.array((F.col("seq") % 5).cast("double"), F.lit(1.0), (F.col("seq") % 3).cast("double")))
+    return stores.replay_cache(log, max_entries=5, ttl=3_600_000.0 * 24 * 7)
+
+
+@query()
+def terminal_stream(spark, sf_dir):
+    return clean_batch(transcripts(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream"), F.lit(0).cast("long").alias("seq"), F.col("text").alias("chunk")))
+
+
+@query()
+def json_envelope(spark, sf_dir):
+    return opt.optimize(transcripts(spark, sf_dir)).select("user_id", envelope().alias("json"))
