@@ -65,11 +65,10 @@ def fit_budget(df: DataFrame, group: str, budget: Column | int, tokens: str = "t
             raise ValueError(f"budget: more than {most_items} items in a group")
         pdf = pdf.assign(density=pdf["s"] / pdf["t"].clip(lower=1)).sort_values(["r", "density", "s", index], ascending=[False, False, False, True])
         used, chosen = 0, []
-        for t, most, i in zip(pdf["t"], pdf["b"], pdf[index]):
-            if used + t <= most:
-                used += t
-                chosen.append(i)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(chosen), index: chosen})
+        for t, most in zip(pdf["t"], pdf["b"]):
+            chosen.append(used + t <= most)
+            used += t if chosen[-1] else 0
+        return pdf.loc[chosen, [group, index]]
 
     small = df.select(group, index, F.col(tokens).cast("long").alias("t"), F.col(score).cast("double").alias("s"), req.alias("r"), limit.cast("long").alias("b"))
     chosen = small.groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, {index} {kind[index]}").withColumn("__s", F.lit(True))
