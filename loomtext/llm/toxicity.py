@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(normal(t.as_py())) for t in b.column(1)], pa.binary())], names=["id", "z"])
 
-    labelled = rows.mapInArrow(squeeze, f"id {kind}, z binary").join(named, "id")
+    # always a shuffle of both sides: labels grow with the corpus, so the plan is the same at every size
+    labelled = rows.mapInArrow(squeeze, f"id {kind}, z binary").join(named.hint("shuffle_hash"), "id")
     fold = F.pmod(F.shiftright(F.crc32(F.col("id").cast("string").cast("binary")), 2), F.lit(4))
     labelled = saved(labelled.select("z", "y", (fold == 0).alias("held"), F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)).alias("draw")), "labelled")
 
