@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import decontaminate, mixing, quality, simhash, tokens
+from loomtext.llm import decontaminate, mixing, neardup, quality, tokens
 from loomtext.llm.common import crc_mod, saved
 
 
@@ -15,8 +15,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of fingerprints within 4 bits."""
-    return simhash.one_of_each(docs)
+    """The smallest doc_id of each group linked at a SimHash similarity of 0.8 over five-word shingles."""
+    return neardup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

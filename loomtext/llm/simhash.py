@@ -94,11 +94,41 @@ def bucket_links(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, n
             break
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups only, by the first three columns: the last group of a batch waits for the next batch."""
+    rest = None
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+        if not len(now[0]):
+            continue
+        same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+        cut = len(same) - int(same.sum())
+        rest = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+    if rest is not None:
+        yield rest
+
+
+def dealt(index: DataFrame, block: int) -> DataFrame:
+    """``index`` (key, fp, ...) with (i, j) after the key, grouped and sorted by the three.
+
+    A bucket beyond ``block`` is dealt into blocks by fp, and every pair of blocks is a group of
+    its own, so a group has about twice ``block`` rows at most and no pair is lost.
+    """
+    rest = [c for c in index.columns if c != "key"]
+    hot = index.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    index = index.join(hot, "key", "left").withColumn("g", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")))
+    other = F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
+    index = index.withColumn("o", F.explode(other)).select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), *rest)
+    return index.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def links(fps: DataFrame, max_bits: int = 4, block: int = 20_000, small: int = 16) -> DataFrame:
     """(src, dst) between different fingerprints ``fp`` (distinct) that connects all that link.
 
-    A bucket beyond ``block`` is dealt into blocks, and every pair of blocks is a group of
-    its own, so a group has at most twice ``block`` rows and no link is lost.
+    See ``dealt`` for buckets beyond ``block``.
     """
     if max_bits > 4:
         raise ValueError("six boxes leave two equal boxes for at most 4 bits")
@@ -108,27 +138,7 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 20_000, small: int = 1
 
     keys = [F.lit(k << 22).cast("long") + F.shiftleft(box(a), 11) + box(b) for k, (a, b) in enumerate(PAIRS)]
     index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = index.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("nb"))
-    index = index.join(hot, "key", "left").withColumn("g", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")))
-    other = F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-    index = index.withColumn("o", F.explode(other)).select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "fp")
-    index = index.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def groups(batches):
-        """Yield whole groups only: the last group of a batch waits for the next batch."""
-        rest = None
-        for b in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
-            if not len(now[0]):
-                continue
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
-            cut = len(same) - int(same.sum())
-            rest = [x[cut:] for x in now]
-            if cut:
-                yield [x[:cut] for x in now]
-        if rest is not None:
-            yield rest
+    index = dealt(index, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, i, j, fp in groups(batches):

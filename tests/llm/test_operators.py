@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat, decontaminate, exact, langid, mixing, quality, simhash, substring, tokens, toxicity
+from loomtext.llm import chat, decontaminate, exact, langid, mixing, neardup, quality, simhash, substring, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, owner int"
 
@@ -74,6 +74,68 @@ def test_simhash_hot_bucket(spark):
         assert len(seen) == len(fps)
 
 
+def near_groups(table, max_bits):
+    """Brute force: the ids that stay, over all pairs of distinct fingerprints."""
+    fps = {}
+    for i, t in table:
+        f = tuple(int(w) for w in neardup.wide_fingerprint(t))
+        fps[f] = min(i, fps.get(f, i))
+    parts, parent = {}, {i: i for i in fps.values()}
+    for f in fps:
+        parts[f] = [[w >> 9 * b & 511 for b in range(7)] for w in f]
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = list(fps)
+    for n, f in enumerate(keys):
+        for g in keys[:n]:
+            two = any(sum(x == y for x, y in zip(p, q)) >= 2 for p, q in zip(parts[f], parts[g]))
+            if two and sum((x ^ y).bit_count() for x, y in zip(f, g)) <= max_bits:
+                a, b = sorted((root(fps[f]), root(fps[g])))
+                parent[b] = a
+    return {i for i in parent if parent[i] == i}
+
+
+def test_near_duplicates_at_similarity(spark, docs):
+    rng = random.Random(2)
+    base = [f"v{rng.randrange(500)}" for _ in range(150)]
+    table = [(r[0], r[1]) for r in rows()] + [(1000, " ".join(base)), (1001, " ".join(base[:140])), (1002, " ".join(base[:70]))]
+    more = docs.unionByName(spark.createDataFrame([(*r, "en", "a", 1, "c", "c", 1) for r in table[-3:]] + [(None, "no id", "en", "a", 1, "c", "c", 1)], SCHEMA))
+    out = neardup.one_of_each(more)
+    assert out.columns == more.columns
+    got = [r.doc_id for r in out.collect()]
+    assert got.count(None) == 1 and 1001 not in got and {1000, 1002} <= set(got)
+    assert sorted(i for i in got if i is not None) == sorted(near_groups(table, neardup.budget(0.8)))
+    assert neardup.one_of_each(empty(spark)).count() == 0
+
+
+def test_near_duplicates_hot_bucket(spark):
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(900)}" for _ in range(200)]
+    table = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(200)] = f"x{rng.randrange(9999)}"
+        table.append((i, " ".join(words)))
+    fps = neardup.wide_fingerprints(spark.createDataFrame(table, "doc_id long, text string"), "doc_id", "text", 5).groupBy("f0", "f1", "f2").agg(F.min("id").alias("id"))
+    whole, dealt = (simhash.connected_components(neardup.links(fps, 29, **about)) for about in ({}, {"block": 20, "small": 4}))
+    assert sorted(whole.collect()) == sorted(dealt.collect())
+    kept = {r.id for r in fps.select("id").collect()} - {r.node for r in whole.where("node <> root").collect()}
+    assert kept == near_groups(table, 29)
+
+
+def test_ring_loses_no_pair():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**64, (4000, neardup.WORDS), np.uint64, endpoint=False)
+    x &= rng.integers(0, 2**64, x.shape, np.uint64, endpoint=False) & rng.integers(0, 2**64, x.shape, np.uint64, endpoint=False)
+    plain = np.flatnonzero(np.bitwise_count(x).sum(1) <= 24)
+    assert len(plain) > 1000 and set(neardup.ring_linked(x, 24)) == set(plain)
+
+
 def test_langid(spark, docs):
     model = langid.fit(docs)
     got = {r.id: r for r in langid.predict(docs, model).collect()}
