@@ -74,29 +74,36 @@ def test_simhash_hot_bucket(spark):
         assert len(seen) == len(fps)
 
 
-def near_groups(table, max_bits):
-    """Brute force: the ids that stay, over all pairs of distinct fingerprints."""
+def near_groups(table, similarity=0.8):
+    """Smallest ids of the groups, by brute force over the candidate rule, then over the link rule within its components."""
     fps = {}
     for i, t in table:
         f = tuple(int(w) for w in neardup.wide_fingerprint(t))
         fps[f] = min(i, fps.get(f, i))
-    parts, parent = {}, {i: i for i in fps.values()}
-    for f in fps:
-        parts[f] = [[w >> 9 * b & 511 for b in range(7)] for w in f]
+    keys, n = list(fps), neardup.INDEXED
+    boxes = {f: [[w >> 9 * b & 511 for b in range(7)] for w in f[:n]] for f in keys}
+    loose, most = neardup.budget(similarity, n, 1.5), neardup.budget(similarity)
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+    def bits(f, g):
+        return sum((x ^ y).bit_count() for x, y in zip(f, g))
 
-    keys = list(fps)
-    for n, f in enumerate(keys):
-        for g in keys[:n]:
-            two = any(sum(x == y for x, y in zip(p, q)) >= 2 for p, q in zip(parts[f], parts[g]))
-            if two and sum((x ^ y).bit_count() for x, y in zip(f, g)) <= max_bits:
-                a, b = sorted((root(fps[f]), root(fps[g])))
-                parent[b] = a
-    return {i for i in parent if parent[i] == i}
+    def components(linked):
+        parent = {f: f for f in keys}
+
+        def root(f):
+            while parent[f] != f:
+                f = parent[f]
+            return f
+
+        for at, f in enumerate(keys):
+            for g in keys[:at]:
+                if linked(f, g):
+                    a, b = sorted((root(f), root(g)), key=fps.get)
+                    parent[b] = a
+        return {f: root(f) for f in keys}
+
+    rough = components(lambda f, g: bits(f[:n], g[:n]) <= loose and any(sum(x == y for x, y in zip(p, q)) >= 2 for p, q in zip(boxes[f], boxes[g])))
+    return {fps[r] for r in components(lambda f, g: rough[f] == rough[g] and bits(f, g) <= most).values()}
 
 
 def test_near_duplicates_at_similarity(spark, docs):
@@ -108,7 +115,7 @@ def test_near_duplicates_at_similarity(spark, docs):
     assert out.columns == more.columns
     got = [r.doc_id for r in out.collect()]
     assert got.count(None) == 1 and 1001 not in got and {1000, 1002} <= set(got)
-    assert sorted(i for i in got if i is not None) == sorted(near_groups(table, neardup.budget(0.8)))
+    assert sorted(i for i in got if i is not None) == sorted(near_groups(table))
     assert neardup.one_of_each(empty(spark)).count() == 0
 
 
@@ -121,19 +128,19 @@ def test_near_duplicates_hot_bucket(spark):
         for _ in range(rng.randint(0, 9)):
             words[rng.randrange(200)] = f"x{rng.randrange(9999)}"
         table.append((i, " ".join(words)))
-    fps = neardup.wide_fingerprints(spark.createDataFrame(table, "doc_id long, text string"), "doc_id", "text", 5).groupBy("f0", "f1", "f2").agg(F.min("id").alias("id"))
-    whole, dealt = (simhash.connected_components(neardup.links(fps, 29, **about)) for about in ({}, {"block": 20, "small": 4}))
+    fps = neardup.wide_fingerprints(spark.createDataFrame(table, "doc_id long, text string"), "doc_id", "text", 5).groupBy(*(f"f{k}" for k in range(neardup.WORDS))).agg(F.min("id").alias("id"))
+    whole, dealt = (simhash.connected_components(neardup.links(fps, 0.8, **about)) for about in ({}, {"block": 20}))
     assert sorted(whole.collect()) == sorted(dealt.collect())
     kept = {r.id for r in fps.select("id").collect()} - {r.node for r in whole.where("node <> root").collect()}
-    assert kept == near_groups(table, 29)
+    assert kept == near_groups(table)
 
 
 def test_ring_loses_no_pair():
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 2**64, (4000, neardup.WORDS), np.uint64, endpoint=False)
+    x = rng.integers(0, 2**64, (4000, neardup.INDEXED), np.uint64, endpoint=False)
     x &= rng.integers(0, 2**64, x.shape, np.uint64, endpoint=False) & rng.integers(0, 2**64, x.shape, np.uint64, endpoint=False)
-    plain = np.flatnonzero(np.bitwise_count(x).sum(1) <= 24)
-    assert len(plain) > 1000 and set(neardup.ring_linked(x, 24)) == set(plain)
+    plain = np.flatnonzero(np.bitwise_count(x).sum(1) <= 32)
+    assert len(plain) > 1000 and set(neardup.ring_linked(x, 32)) == set(plain)
 
 
 def test_langid(spark, docs):
