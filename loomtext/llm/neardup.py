@@ -9,7 +9,7 @@ Four bits of 64 are a similarity of about 0.95 or more; 0.8 is about 15 % of the
    stay within their proportional budgets; then comes the Hamming check of the 256 bits. Its limit lies one and
    a half standard deviations above what 0.8 leaves different, so that few such pairs are missed.
 2. Links: inside a component of candidates, texts are linked by the full Hamming check of all 1024 bits, at what
-   0.8 leaves different. This needs no index, and each text goes there once.
+   0.8 leaves different plus half a standard deviation. This needs no index, and each text goes there once.
 
 The index is the one step that is not exact: see ``candidates``.
 """
@@ -131,11 +131,11 @@ def candidates(unique: DataFrame, max_bits: int, block: int = 20_000) -> DataFra
     return group_links(index, lambda x: ring_linked(x, max_bits), block)
 
 
-def links(unique: DataFrame, similarity: float, spread: float = 1.5, block: int = 20_000) -> DataFrame:
-    """(src, dst) between ids of different fingerprints (id, f0, f1, ...) that connects those within ``budget(similarity)`` in a component of candidates."""
+def links(unique: DataFrame, similarity: float, spread: float = 1.5, margin: float = 0.5, block: int = 20_000) -> DataFrame:
+    """(src, dst) between ids of different fingerprints (id, f0, f1, ...) that connects those within the budget in a component of candidates; ``margin`` is in standard deviations."""
     comp = connected_components(candidates(unique, budget(similarity, INDEXED, spread), block))
     index = unique.join(comp, F.col("id") == F.col("node")).select(F.col("root").alias("key"), F.col("f0").alias("fp"), *(f"f{k}" for k in range(1, WORDS)), "id")
-    most = budget(similarity)
+    most = budget(similarity, WORDS, margin)
     return group_links(index, lambda x: within(x, most), block)
 
 

@@ -82,7 +82,7 @@ def near_groups(table, similarity=0.8):
         fps[f] = min(i, fps.get(f, i))
     keys, n = list(fps), neardup.INDEXED
     boxes = {f: [[w >> 9 * b & 511 for b in range(7)] for w in f[:n]] for f in keys}
-    loose, most = neardup.budget(similarity, n, 1.5), neardup.budget(similarity)
+    loose, most = neardup.budget(similarity, n, 1.5), neardup.budget(similarity, spread=0.5)
 
     def bits(f, g):
         return sum((x ^ y).bit_count() for x, y in zip(f, g))
