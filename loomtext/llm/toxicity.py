@@ -1,79 +1,138 @@
 """Toxicity: class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihood.
 
-Words are hashed to 2**18 numbers, so that every table has a fixed size. In each class, discounted bigram counts back
-off to the class's continuation counts, and these to continuation counts that both classes share, which smooth
-rare expressions alike. Counts cover all labelled rows of three quarters of the training folds; the rest
+Words are 64-bit hashes, and every (class, word) and (class, word before, word) has its own exact count in a written
+table that grows with the corpus; only two words with the same 64 bits would share one. In each class, discounted
+bigram counts back off to the class's continuation counts, and these to continuation counts that both classes share,
+which smooth rare expressions alike. Counts cover all labelled rows of three quarters of the training folds; the rest
 calibrate the score.
+
+What the discounts take entirely has a ratio of exactly 1. So tasks get only the words and pairs whose ratio differs, and
+what tells the ratio of a pair that was never seen; the scores are those of the whole table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, mix, saved, word_hashes
 from .decontaminate import NORMAL
 
-WORDS, TABLE = 18, 21
-EDGE = (1 << WORDS) - 1
+EDGE = 0x5BD1E995A7C3F10D
+SIGMAS, DISCOUNT, BACKOFF = 3.0, 2.0, 0.75
+#: A count of 0 is settled at 1 if no more than this is expected: e <= DISCOUNT + SIGMAS * sqrt(e) holds up to 12.68.
+SURE = 12.6
+
+
+class Model(NamedTuple):
+    """Words (sorted hashes; columns: ratio, backed-off probability and count by class, weight of the back-off) and pairs (sorted hashes, ratios)."""
+
+    words: np.ndarray
+    about: np.ndarray
+    pairs: np.ndarray
+    ratio: np.ndarray
 
 
 def word_numbers(text: bytes) -> np.ndarray:
-    """Hash numbers of the words, with the sentence edge before and after."""
-    h = (word_hashes(text) >> np.uint64(64 - WORDS)).astype(np.int64)
-    return np.concatenate(([EDGE], h, [EDGE]))
+    """64-bit hashes of the words, with the sentence edge before and after."""
+    edge = np.array([EDGE], np.uint64)
+    return np.concatenate((edge, word_hashes(text), edge))
 
 
-def pair_slot(pairs: np.ndarray) -> np.ndarray:
-    return (mix(pairs.astype(np.uint64)) >> np.uint64(64 - TABLE)).astype(np.int64)
+def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(v))
 
 
-def settled(n: np.ndarray, expected: np.ndarray, sigmas: float = 3.0, discount: float = 2.0) -> np.ndarray:
-    """A class's estimate over the shared one, after discounting.
+def settled(n, expected, sigmas: float = SIGMAS, discount: float = DISCOUNT, m=np):
+    """A class's estimate over the shared one, after discounting; of arrays, or of columns with ``m=F``.
 
     The discount takes ``discount + sigmas * sqrt(expected)`` of what the class's count differs from the count that the
     shared estimate expects, and gives it to the shared estimate: what chance or rarity explains backs off entirely.
     """
     off = n - expected
-    kept = np.sign(off) * np.maximum(np.abs(off) - discount - sigmas * np.sqrt(expected), 0)
-    return (expected + kept + 1) / (expected + 1)
-
-
-def build_tables(pairs, context, kinds, after) -> tuple:
-    """The fixed-size tables of both classes; the lower order rests on continuation counts."""
-    shared = after.sum(0).astype(np.float64)
-    base = np.maximum(shared - 0.75, 0) / max(1.0, shared.sum())
-    base += (1 - base.sum()) / len(base)
-    low = [settled(after[c], float(after[c].sum()) * base).astype(np.float32) for c in (0, 1)]
-    return pairs, context, kinds, low, base.astype(np.float32)
-
-
-def ratios(tables: tuple, numbers: np.ndarray) -> np.ndarray:
+    most = (lambda x: F.greatest(x, F.lit(0.0))) if m is F else (lambda x: np.maximum(x, 0))
+    return (expected + m.sign(off) * most(m.abs(off) - discount - sigmas * m.sqrt(expected)) + 1) / (expected + 1)
+
+
+def model_of(pairs: DataFrame) -> Model:
+    """The model of exact counts (u, v, n0, n1, n, c0, c1, c, k): of the pair by class and in all, of u by class and in all, and of the different words after u."""
+    after = saved(pairs.groupBy(F.col("v").alias("w")).agg(F.count_if(F.col("n0") > 0).alias("a0"), F.count_if(F.col("n1") > 0).alias("a1"), F.count("*").alias("a")), "after")
+    seen = after.agg(F.sum("a0"), F.sum("a1"), F.sum("a"), F.count("*")).first()
+    total0, total1, total, kinds = (float(x or 0) for x in seen)
+    rest = BACKOFF * kinds / max(1.0, total) / (kinds + 1)  # for each word, and as much for all unknown ones
+    base = F.greatest(F.coalesce("a", F.lit(0)) - BACKOFF, F.lit(0.0)) / max(1.0, total) + rest
+
+    def low(c: int) -> Column:
+        return settled(F.coalesce(f"a{c}", F.lit(0)).cast("double"), base * (total0, total1)[c], m=F)
+
+    after = after.select("w", base.alias("base"), low(0).alias("l0"), low(1).alias("l1"))
+    before = pairs.groupBy(F.col("u").alias("w")).agg(*(F.first(x).alias(x) for x in ("c0", "c1", "c", "k")))
+    weight = F.least(F.lit(1.0), BACKOFF * F.col("k") / F.col("c"))
+    words = after.join(before.withColumn("weight", weight), "w", "full").select(
+        "w", (F.log("l1") - F.log("l0")).alias("r"), (F.col("base") * F.col("l0")).alias("b0"), (F.col("base") * F.col("l1")).alias("b1"), "c0", "c1", "weight"
+    ).fillna(0.0)
+    words = saved(words, "words")
+    top = words.agg(*(F.max(x) for x in ("b0", "b1")), *(F.max(F.col(f"c{c}") * F.col("weight")) for c in (0, 1))).first()
+    b0, b1, g0, g1 = (float(x or 0) for x in top)
+    # a pair never seen tells something only if both of its words are frequent
+    tells = (F.col("r") != 0) | (F.greatest(F.col("c0") * F.col("weight") * b0, F.col("c1") * F.col("weight") * b1, F.col("b0") * g0, F.col("b1") * g1) > SURE)
+    told = words.where(tells).toArrow()
+
+    def expected(c: int) -> Column:
+        both = F.greatest(F.col("n") - BACKOFF, F.lit(0.0)) / F.col("c") + weight * F.col("base")
+        return F.col(f"c{c}") * F.least(both * F.col(f"l{c}"), F.lit(1.0))
+
+    unseen = F.greatest(*(F.col(f"c{c}") * F.least(weight * F.col("base") * F.col(f"l{c}"), F.lit(1.0)) for c in (0, 1)))
+    maybe = pairs.where((F.greatest("n0", "n1") >= 3) | (F.greatest("c0", "c1") > SURE)).join(after, F.col("v") == F.col("w"))
+    parts = (F.log(settled(F.col(f"n{c}").cast("double"), expected(c), m=F)) for c in (1, 0))
+    ratio = next(parts) - next(parts)
+    kept = maybe.select("u", "v", ratio.alias("r"), unseen.alias("e")).where((F.col("r") != 0) | (F.col("e") > SURE)).select("u", "v", "r").toArrow()
+
+    def hashes(t, name):
+        return t[name].to_numpy().astype(np.int64).view(np.uint64)
+
+    w, p = hashes(told, "w"), pair_hash(hashes(kept, "u"), hashes(kept, "v"))
+    about = np.stack([told[x].to_numpy().astype(float) for x in ("r", "b0", "b1", "c0", "c1", "weight")], 1)
+    by_word, by_pair = np.argsort(w), np.argsort(p)
+    return Model(w[by_word], about[by_word], p[by_pair], kept["r"].to_numpy().astype(float)[by_pair])
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places among the sorted keys, whether they hold what is wanted)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def ratios(model: Model, numbers: np.ndarray) -> np.ndarray:
     """log P(word | word before, toxic) - log P(word | word before, ordinary).
 
     Both classes share one interpolated Kneser-Ney bigram model; each tilts it by its discounted
     lower order, and then by its discounted bigram counts.
     """
-    pairs, context, kinds, low, base = tables
-    u, v = numbers[:-1], numbers[1:]
-    slot = pair_slot((u << WORDS) | v)
-    n = np.maximum(context[0][u] + context[1][u], 1)
-    both = np.maximum(pairs[0][slot] + pairs[1][slot] - 0.75, 0) / n + np.minimum(1, 0.75 * (kinds[0][u] + kinds[1][u]) / n) * base[v]
+    at, known = found(model.words, numbers)
+    u, v, both = at[:-1], at[1:], known[:-1] & known[1:]
     out = np.zeros(len(v))
+    out[known[1:]] = model.about[v[known[1:]], 0]
+    pair, there = found(model.pairs, pair_hash(numbers[:-1], numbers[1:]))
+    out[there] += model.ratio[pair[there]]
+    new = both & ~there
+    u, v = model.about[u[new]], model.about[v[new]]
     for c, sign in ((0, -1), (1, 1)):
-        tilted = low[c][v]
-        out += sign * (np.log(tilted) + np.log(settled(pairs[c][slot], context[c][u] * np.minimum(both * tilted, 1))))
+        out[new] += sign * np.log(settled(0.0, u[:, 3 + c] * np.minimum(u[:, 5] * v[:, 1 + c], 1)))
     return out
 
 
-def describe(tables: tuple, text: bytes) -> list[float]:
+def describe(model: Model, text: bytes) -> list[float]:
     """Bias, the log-likelihood ratio over the length, and over its square root."""
-    r = ratios(tables, word_numbers(text))
+    r = ratios(model, word_numbers(text))
     return [1.0, float(r.mean()), float(r.sum() / np.sqrt(len(r)))]
 
 
@@ -81,7 +140,7 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode().translate(NORMAL)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", ranges: int = 64, calibrate_per_class: int = 4000):
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", ranges: int = 512, calibrate_per_class: int = 4000):
     """(model, calibration) from labelled rows.
 
     Rows whose crc32(id as text) modulo 16 is below 4 calibrate (about ``calibrate_per_class`` of each class at most), the others are counted, all of them.
@@ -102,60 +161,60 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     fold = F.pmod(F.shiftright(F.crc32(F.col("id").cast("string").cast("binary")), 2), F.lit(4))
     labelled = saved(labelled.select("z", "y", (fold == 0).alias("held"), F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)).alias("draw")), "labelled")
 
+    def summed(u, v, n):
+        """Sorted different pairs with their summed counts (one row a class)."""
+        by = np.lexsort((v, u))
+        u, v, n = u[by], v[by], n[:, by]
+        at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
+        return u[at], v[at], np.add.reduceat(n, at, axis=1)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(codes):
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            part = code >> (1 + 2 * WORDS - ranges.bit_length() + 1)
+        def flush(rows):
+            u, v, n = summed(*(np.concatenate(x, axis=-1) for x in zip(*rows)))
+            part = (u >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            blobs = [zstandard.compress(c.astype("<i8").tobytes() + m.astype("<i8").tobytes(), 1) for c, m in zip(np.split(code, cut[1:]), np.split(n, cut[1:]))]
+            packed = np.concatenate((u[None].view(np.int64), v[None].view(np.int64), n))
+            blobs = [zstandard.compress(x.astype("<i8").tobytes(), 1) for x in np.split(packed, cut[1:], axis=1)]
             return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-        codes, size = [], 0
+        rows, size = [], 0
         for b in batches:
             for z, y in zip(b.column(0), b.column(1).to_pylist()):
                 w = word_numbers(zstandard.decompress(z.as_py()))
-                codes.append((((w[:-1] << WORDS) | w[1:]) << 1) | (1 if y == 1 else 0))
+                n = np.zeros((2, len(w) - 1), np.int64)
+                n[1 if y == 1 else 0] = 1
+                rows.append((w[:-1], w[1:], n))
                 size += len(w)
                 if size > 2_000_000:
-                    yield flush(codes)
-                    codes, size = [], 0
-        if codes:
-            yield flush(codes)
+                    yield flush(rows)
+                    rows, size = [], 0
+        if rows:
+            yield flush(rows)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables(blobs):
-            raw = [np.frombuffer(zstandard.decompress(b), "<i8").reshape(2, -1) for b in blobs]
-            code, at = np.unique(np.concatenate([r[0] for r in raw]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([r[1] for r in raw])).astype(np.int64)
-            y, pair = code & 1, code >> 1
-            u, v, slot = pair >> WORDS, pair & EDGE, pair_slot(pair)
-            for k, where, value in ((0, slot, n), (1, u, n), (2, u, np.ones_like(n)), (3, v, np.ones_like(n))):
-                cell, back = np.unique((y << TABLE) | where, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k), pa.int32()), pa.array(cell, pa.int32()), pa.array(np.bincount(back, weights=value).astype(np.int64))], names=["kind", "cell", "n"])
+        def table(blobs):
+            raw = np.concatenate([np.frombuffer(zstandard.decompress(b), "<i8").reshape(4, -1) for b in blobs], axis=1)
+            u, v, n = summed(raw[0].view(np.uint64), raw[1].view(np.uint64), raw[2:])
+            at = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            many = np.diff(np.append(at, len(u)))
+            c = np.add.reduceat(n, at, axis=1)
+            columns = [u.view(np.int64), v.view(np.int64), *n, n.sum(0), *(np.repeat(x, many) for x in (*c, c.sum(0), many))]
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["u", "v", "n0", "n1", "n", "c0", "c1", "c", "k"])
 
         part, got = None, []
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if p != part and got:
-                    yield from tables(got)
+                    yield table(got)
                     got = []
                 part = p
                 got.append(blob)
         if got:
-            yield from tables(got)
+            yield table(got)
 
     sent = labelled.where("not held").select("z", "y").mapInArrow(count, "part int, blob binary")
-    cells = sent.repartition("part").sortWithinPartitions("part").mapInArrow(own, "kind int, cell int, n long")
-    cells = cells.groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 (2**21 + 3 * 2**18) rows
-    k, cell, n = (cells[c].to_numpy() for c in ("kind", "cell", "n"))
-    out = []
-    for kind_no, width in ((0, TABLE), (1, WORDS), (2, WORDS), (3, WORDS)):
-        t = np.zeros((2, 1 << width), np.float32)
-        m = k == kind_no
-        t[cell[m] >> TABLE, cell[m] & ((1 << TABLE) - 1)] = n[m]
-        out.append(t)
-    del cells
-    shipped = spark.sparkContext.broadcast(build_tables(*out))
+    pairs = saved(sent.repartition("part").sortWithinPartitions("part").mapInArrow(own, "u long, v long, n0 long, n1 long, n long, c0 long, c1 long, c long, k long"), "pairs")
+    shipped = spark.sparkContext.broadcast(model_of(pairs))
     sizes = {r["y"]: r["count"] for r in labelled.where("held").groupBy("y").count().collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -306,3 +306,71 @@ def test_pipeline_runs(spark):
         assert kept.columns == docs.columns
     got = corpus_pipeline.run(spark, sf).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in kept.collect())
+
+
+def toxicity_by_hand(counted, text):
+    """Length and summed log ratio of a text by exact counts of (text, class) rows, with dicts of words and pairs."""
+
+    def words(t):
+        return [None, *(t or "").encode().translate(decontaminate.NORMAL).split(), None]
+
+    n, shared, context = [Counter(), Counter()], Counter(), [Counter(), Counter()]
+    for t, y in counted:
+        w = words(t)
+        for pair in zip(w, w[1:]):
+            shared[pair] += 1
+            if y is not None:
+                n[y][pair] += 1
+                context[y][pair[0]] += 1
+    ctx, kinds, after, by = Counter(), Counter(), Counter(), [Counter(v for _, v in n[c]) for c in (0, 1)]
+    for (u, v), x in shared.items():
+        ctx[u] += x
+        kinds[u] += 1
+        after[v] += 1
+    total, many = max(1, sum(after.values())), len(after)
+
+    def settled(x, e):
+        off = x - e
+        return (e + np.sign(off) * max(abs(off) - 2 - 3 * np.sqrt(e), 0) + 1) / (e + 1)
+
+    out = 0.0
+    w = words(text)
+    for u, v in zip(w, w[1:]):
+        base = max(after[v] - 0.75, 0) / total + 0.75 * many / total / (many + 1)
+        seen = max(1, ctx[u])
+        both = max(shared[u, v] - 0.75, 0) / seen + min(1, 0.75 * kinds[u] / seen) * base
+        for c, sign in ((0, -1), (1, 1)):
+            low = settled(by[c][v], sum(by[c].values()) * base)
+            out += sign * (np.log(low) + np.log(settled(n[c][u, v], context[c][u] * min(both * low, 1))))
+    return len(w) - 1, out
+
+
+def test_toxicity_exact_counts(spark):
+    rng = random.Random(8)
+    # two words that share the first 18 bits of their hashes, as words shared a slot before
+    slots = {}
+    for i in range(20_000):
+        h = int(toxicity.word_hashes(b"q%d" % i)[0]) >> 46
+        if h in slots:
+            break
+        slots[h] = f"q{i}"
+    bad, good = slots[h], f"q{i}"
+    frequent = [f"f{i}" for i in range(12)]
+    table = []
+    for i in range(900):
+        w = [rng.choice(frequent) if rng.random() < 0.6 else f"w{rng.randrange(400)}" for _ in range(40)]
+        # f0 never stands before f1
+        w = [x for a, x in zip([""] + w, w) if (a, x) != ("f0", "f1")] + ([bad] * 2 if i % 5 == 0 else [good] * 2)
+        table.append((i, " ".join(w)))
+    fold = {i: zlib.crc32(str(i).encode()) // 4 % 4 for i, _ in table}
+    df = spark.createDataFrame([*table, (1000, None), (1001, "f0 f1 f0 f1 never"), (1002, f"{good} {bad}")], "doc_id long, text string")
+    shipped, b = toxicity.fit(df.where("doc_id < 900"), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in table], "doc_id long, toxic int"))
+    counted = [(t, int(i % 5 == 0)) for i, t in table if fold[i] != 0]
+    got = {r.id: r.score for r in toxicity.score(df, (shipped, b)).collect()}
+    wide = []
+    for i, t in [*table[:40], (1000, None), (1001, "f0 f1 f0 f1 never"), (1002, f"{good} {bad}")]:
+        size, r = toxicity_by_hand(counted, t)
+        wide.append(abs(r))
+        z = b @ [1.0, r / size, r / np.sqrt(size)]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    assert max(wide) > 1 and wide[-2] > 0
