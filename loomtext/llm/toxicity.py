@@ -3,8 +3,8 @@
 Words are 64-bit hashes, and every (class, word) and (class, word before, word) has its own exact count in a written
 table that grows with the corpus; only two words with the same 64 bits would share one. In each class, discounted
 bigram counts back off to the class's continuation counts, and these to continuation counts that both classes share,
-which smooth rare expressions alike. Counts cover all labelled rows of three quarters of the training folds; the rest
-calibrate the score.
+which smooth rare expressions alike. A bounded draw of labelled rows calibrates the score; the classes count all other
+labelled rows, and the shared counts these and the rows without a label.
 
 What the discounts take entirely has a ratio of exactly 1. So tasks get only the words and pairs whose ratio differs, and
 what tells the ratio of a pair that was never seen; the scores are those of the whole table.
@@ -89,7 +89,10 @@ def model_of(pairs: DataFrame) -> Model:
         return F.col(f"c{c}") * F.least(both * F.col(f"l{c}"), F.lit(1.0))
 
     unseen = F.greatest(*(F.col(f"c{c}") * F.least(weight * F.col("base") * F.col(f"l{c}"), F.lit(1.0)) for c in (0, 1)))
-    maybe = pairs.where((F.greatest("n0", "n1") >= 3) | (F.greatest("c0", "c1") > SURE)).join(after, F.col("v") == F.col("w"))
+    most = [float(x or 0) for x in after.agg(F.max("l0"), F.max("l1")).first()]
+    # of a pair left out here, a class expects SURE at most, whatever v is, and its count is within the discount
+    bound = [F.col(f"c{c}") * (F.greatest(F.col("n") - BACKOFF, F.lit(0.0)) / F.col("c") * most[c] + weight * (b0, b1)[c]) for c in (0, 1)]
+    maybe = pairs.where((F.greatest("n0", "n1") > DISCOUNT) | (F.greatest(*bound) > SURE)).join(after, F.col("v") == F.col("w"))
     parts = (F.log(settled(F.col(f"n{c}").cast("double"), expected(c), m=F)) for c in (1, 0))
     ratio = next(parts) - next(parts)
     kept = maybe.select("u", "v", ratio.alias("r"), unseen.alias("e")).where((F.col("r") != 0) | (F.col("e") > SURE)).select("u", "v", "r").toArrow()
@@ -143,8 +146,9 @@ def normal(text: str | None) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", ranges: int = 512, calibrate_per_class: int = 4000):
     """(model, calibration) from labelled rows.
 
-    Rows whose crc32(id as text) modulo 16 is below 4 calibrate (about ``calibrate_per_class`` of each class at most), the others are counted, all of them.
-    Texts travel compressed to their label; then each batch sends sorted pair counts to the owners of word ranges.
+    Of the labelled rows whose crc32(id as text) modulo 16 is below 4, about ``calibrate_per_class`` of each class calibrate at most; all
+    others are counted, those without a label in the shared counts only. Texts travel compressed to their label; then each
+    batch sends sorted pair counts to the owners of word ranges.
     """
     spark = docs.sparkSession
     named = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -156,10 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(normal(t.as_py())) for t in b.column(1)], pa.binary())], names=["id", "z"])
 
-    # always a shuffle of both sides: labels grow with the corpus, so the plan is the same at every size
-    labelled = rows.mapInArrow(squeeze, f"id {kind}, z binary").join(named.hint("shuffle_hash"), "id")
     fold = F.pmod(F.shiftright(F.crc32(F.col("id").cast("string").cast("binary")), 2), F.lit(4))
-    labelled = saved(labelled.select("z", "y", (fold == 0).alias("held"), F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)).alias("draw")), "labelled")
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
+    sizes = {r["y"]: r["count"] for r in rows.select("id").where(fold == 0).join(named.hint("shuffle_hash"), "id").groupBy("y").count().collect()}
+    most = {y: int(calibrate_per_class / sizes[y] * (1 << 30)) + 1 if sizes.get(y) else 0 for y in (0, 1)}
+    calibrates = (fold == 0) & (draw < F.when(F.col("y") == 1, most[1]).otherwise(most[0])) & F.col("y").isNotNull()
+    # always a shuffle of both sides: labels grow with the corpus, so the plan is the same at every size
+    counted = rows.mapInArrow(squeeze, f"id {kind}, z binary").join(named.hint("shuffle_hash"), "id", "left").where(~F.coalesce(calibrates, F.lit(False)))
 
     def summed(u, v, n):
         """Sorted different pairs with their summed counts (one row a class)."""
@@ -181,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         for b in batches:
             for z, y in zip(b.column(0), b.column(1).to_pylist()):
                 w = word_numbers(zstandard.decompress(z.as_py()))
-                n = np.zeros((2, len(w) - 1), np.int64)
-                n[1 if y == 1 else 0] = 1
+                n = np.zeros((3, len(w) - 1), np.int64)
+                n[2 if y is None else 1 if y == 1 else 0] = 1
                 rows.append((w[:-1], w[1:], n))
                 size += len(w)
                 if size > 2_000_000:
@@ -193,12 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(blobs):
-            raw = np.concatenate([np.frombuffer(zstandard.decompress(b), "<i8").reshape(4, -1) for b in blobs], axis=1)
+            raw = np.concatenate([np.frombuffer(zstandard.decompress(b), "<i8").reshape(5, -1) for b in blobs], axis=1)
             u, v, n = summed(raw[0].view(np.uint64), raw[1].view(np.uint64), raw[2:])
             at = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
             many = np.diff(np.append(at, len(u)))
             c = np.add.reduceat(n, at, axis=1)
-            columns = [u.view(np.int64), v.view(np.int64), *n, n.sum(0), *(np.repeat(x, many) for x in (*c, c.sum(0), many))]
+            columns = [u.view(np.int64), v.view(np.int64), *n[:2], n.sum(0), *(np.repeat(x, many) for x in (*c[:2], c.sum(0), many))]
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["u", "v", "n0", "n1", "n", "c0", "c1", "c", "k"])
 
         part, got = None, []
@@ -212,21 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         if got:
             yield table(got)
 
-    sent = labelled.where("not held").select("z", "y").mapInArrow(count, "part int, blob binary")
+    sent = counted.select("z", "y").mapInArrow(count, "part int, blob binary")
     pairs = saved(sent.repartition("part").sortWithinPartitions("part").mapInArrow(own, "u long, v long, n0 long, n1 long, n long, c0 long, c1 long, c long, k long"), "pairs")
     shipped = spark.sparkContext.broadcast(model_of(pairs))
-    sizes = {r["y"]: r["count"] for r in labelled.where("held").groupBy("y").count().collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [describe(shipped.value, zstandard.decompress(z.as_py())) for z in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["f", "y", "draw"])
+            f = [describe(shipped.value, normal(t.as_py())) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], names=["f", "y"])
 
     if not sizes.get(0) or not sizes.get(1):
         return shipped, np.array([-1.0, 4.0, 0.0])
-    most = {y: int(calibrate_per_class / sizes[y] * (1 << 30)) + 1 for y in (0, 1)}
-    chosen = labelled.where("held").where(F.col("draw") < F.when(F.col("y") == 1, most[1]).otherwise(most[0]))
-    got = chosen.select("z", "y", "draw").mapInArrow(held, "f array<double>, y int, draw long").toArrow()
+    got = rows.where(fold == 0).join(F.broadcast(named.where(calibrates)), "id").select("text", "y").mapInArrow(held, "f array<double>, y int").toArrow()
     x, y = np.array(got["f"].to_pylist()).reshape(-1, 3), got["y"].to_numpy().astype(float)
     drawn = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, sizes[1] / max(1, drawn[1]), sizes[0] / max(1, drawn[0]))

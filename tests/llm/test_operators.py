@@ -374,3 +374,26 @@ def test_toxicity_exact_counts(spark):
         z = b @ [1.0, r / size, r / np.sqrt(size)]
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
     assert max(wide) > 1 and wide[-2] > 0
+
+
+def test_toxicity_counts_all_but_the_draw(spark):
+    rng = random.Random(9)
+    table = []
+    for i in range(800):
+        w = [rng.choice([f"f{k}" for k in range(12)]) if rng.random() < 0.6 else f"w{rng.randrange(400)}" for _ in range(40)]
+        table.append((i, " ".join(w + ["scum"] * (i % 5 == 0)), int(i % 5 == 0) if i % 3 else None))
+    fold = {i: zlib.crc32(str(i).encode()) // 4 % 4 for i, *_ in table}
+    size = Counter(y for i, _, y in table if fold[i] == 0)
+
+    def calibrates(i, y):
+        draw = xxhash.xxh64_intdigest(str(i).encode(), 42) % (1 << 30)
+        return y is not None and fold[i] == 0 and draw < int(10 / size[y] * (1 << 30)) + 1
+
+    df = spark.createDataFrame([(i, t) for i, t, _ in table], "doc_id long, text string")
+    shipped, b = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int"), calibrate_per_class=10)
+    counted = [(t, y) for i, t, y in table if not calibrates(i, y)]
+    assert 5 < len(table) - len(counted) < 50
+    got = {r.id: r.score for r in toxicity.score(df, (shipped, b)).collect()}
+    for i, t, _ in table[:60]:
+        n, r = toxicity_by_hand(counted, t)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(b @ [1.0, r / n, r / np.sqrt(n)]))), abs=1e-9)
