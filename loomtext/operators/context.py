@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,11 +105,18 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, floor: float = -1.0, doc_id: str = "id", query_id: str = "query_id", embedding: str = "embedding", most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar documents of every query.
 
-    A stated query set is checked against ``most_queries`` and goes to every task; each task keeps k per query before anything is
-    shuffled, so the shuffle has tasks x queries x k rows at most.
+    Queries go to every task in blocks of about ``most_queries`` by hash; each task keeps k per query before anything is
+    shuffled, so a block's shuffle has tasks x queries x k rows at most.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
+    blocks = -(-queries.count() // most_queries)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+        parts = [_block_top_k(docs, queries.where(block == n), k, floor, doc_id, query_id, embedding) for n in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _block_top_k(docs, queries, k, floor, doc_id, query_id, embedding)
+
+
+def _block_top_k(docs: DataFrame, queries: DataFrame, k: int, floor: float, doc_id: str, query_id: str, embedding: str) -> DataFrame:
     q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("__qe"))
     pairs = docs.select(F.col(doc_id).alias("id"), F.col(embedding).alias("__de")).join(F.broadcast(q))
     pairs = pairs.select("query_id", "id", cosine(F.col("__de"), F.col("__qe")).alias("similarity")).where(F.col("similarity") >= floor)

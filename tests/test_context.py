@@ -36,3 +36,11 @@ def test_store_and_cache():
     c = stores.SemanticCache(ttl=10)
     c.set("k", [1.0, 0.0], "v", 0)
     assert c.get("k", [0.0, 1.0], 1)[3] and c.get("z", [1.0, 0.01], 1)[:2] == ("k", "v") and c.get("z", [0.0, 1.0], 1) is None and c.get("k", [1.0, 0.0], 10) is None
+
+
+def test_vector_top_k_in_blocks(spark):
+    docs = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), float(i % 11) - 4]) for i in range(60)], "id int, embedding array<double>")
+    queries = docs.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(context.vector_top_k(docs, queries, 4).collect())
+    got = sorted(context.vector_top_k(docs, queries, 4, most_queries=6).collect())
+    assert got == want and len(want) == 20 * 4
