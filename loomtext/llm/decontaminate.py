@@ -88,11 +88,20 @@ def shipped_items(items: DataFrame, item_col: str = "item_id", item_text_col: st
     return machine
 
 
+#: Stands for the id of items that have none.
+NO_ID = "\x00"
+
+
+def with_ids(items: DataFrame, item_col: str = "item_id") -> DataFrame:
+    """Items without an id keep their windows: they share the id ``NO_ID``, as one item."""
+    return items.withColumn(item_col, F.coalesce(F.col(item_col).cast("string"), F.lit(NO_ID)))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, **about) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans, contaminated) for every row.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``size`` consecutive words of an
-    item, or all of a shorter one. A row is contaminated if it has hit words and they are ``percent`` of its words or more. Null
+    item, or all of a shorter one; items whose id is null are left out (see ``with_ids``). A row is contaminated if it has hit words and they are ``percent`` of its words or more. Null
     has no words; an item without words has no window; rows that repeat are scanned each.
     """
     machine = shipped_items(items, **about)
@@ -133,8 +142,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", pe
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
-    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """Items without an id count as one in ``n_items`` and are not named in the list of items."""
+    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_ids(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    named = F.array_join(F.array_remove("items", NO_ID), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated")
 
 
 def decontamination_sql(table: str = "documents") -> str:

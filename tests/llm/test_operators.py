@@ -397,3 +397,17 @@ def test_toxicity_counts_all_but_the_draw(spark):
     for i, t, _ in table[:60]:
         n, r = toxicity_by_hand(counted, t)
         assert got[i] == pytest.approx(1 / (1 + np.exp(-(b @ [1.0, r / n, r / np.sqrt(n)]))), abs=1e-9)
+
+
+def test_items_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    table = [(0, "one two three four"), (1, "one two"), (2, "five six"), (3, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame([(None, "Two three"), (7, "four"), (None, "six")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.op6_decontaminate(spark, str(tmp_path)).collect()}
+    name = [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
+    assert got == {0: (4, 3, 2, name[1], True), 1: (2, 0, 0, name[0], False), 2: (2, 1, 1, name[0], True), 3: (0, 0, 0, name[0], False)}
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [1, 3]
