@@ -42,7 +42,7 @@ STAGES = [
     ("tokens", write_ids),
 ]
 
-#: The classifier and the tokenizer have no SQL; tests/llm compares with plain Python instead.
+#: The classifier and the tokenizer have no SQL; test_pipeline_by_hand in tests/llm compares all rows and columns with plain Python instead.
 ORACLE_SQL = None
 
 

@@ -411,3 +411,95 @@ def test_items_without_id(spark, tmp_path):
     name = [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
     assert got == {0: (4, 3, 2, name[1], True), 1: (2, 0, 0, name[0], False), 2: (2, 1, 1, name[0], True), 3: (0, 0, 0, name[0], False)}
     assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def quality_by_hand(text, model):
+    """The machine's margin with every pair of features written out."""
+    at, x = quality.features(text)
+    w0, w, v = model[0], model[1].astype(np.float32).astype(float), model[2].astype(np.float32).astype(float)
+    both = (v[at] @ v[at].T) * np.outer(x, x)
+    return 1 / (1 + np.exp(-(w0 + x @ w[at] + np.triu(both, 1).sum())))
+
+
+def mixed_by_hand(table):
+    """Epochs of (id, source, text) rows with different ids: targets by filling up, then rows in key order."""
+    size = {i: len([w for w in (t or "").encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w]) for i, _, t in table}
+    sources = sorted({s for _, s, _ in table}, key=lambda s: (s is None, s or ""))
+    per = {s: sum(size[i] for i, x, _ in table if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, left, free = {}, 1.5 * sum(per.values()), set(sources)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if 2 * per[s] < level * weight[s]}
+        for s in full or set(free):
+            target[s] = 2 * per[s] if full else level * weight[s]
+            left -= target[s] if full else 0
+            free.discard(s)
+    epochs = {}
+    for s in sources:
+        whole = int(target[s] // per[s]) if per[s] else 0
+        rest, at = target[s] - whole * per[s], 0
+        for _, i in sorted((hashlib.md5(f"17:{i}".encode()).hexdigest(), i) for i, x, _ in table if x == s):
+            at += size[i]
+            epochs[i] = min(2, whole + (at - size[i] / 2 <= rest))
+    return epochs
+
+
+def test_pipeline_by_hand(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
+    model = quality.fit(docs, labels)
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    assert len({i for i, *_ in rows}) == len(rows)
+    rows = [r for r in rows if quality_by_hand(r[2], model) >= 0.5]
+    kept = near_groups([(i, t) for i, _, t in rows])
+    rows = [r for r in rows if r[0] in kept]
+    split, windows = decontaminate.normal_words, set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = split(r.text)
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12) if w else 0)}
+    clean = []
+    for r in rows:
+        w = split(r[2])
+        hit = {p + o for n in {len(x) for x in windows} for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in windows for o in range(n)}
+        clean += [] if hit and 20 * len(hit) >= len(w) else [r]
+    assert len(clean) < len(docs.collect())
+    epochs, text = mixed_by_hand(clean), {i: t for i, _, t in clean}
+    tk, at, want = Tokenizer.from_file(tokens.default_tokenizer()), 0, []
+    for i in sorted(text):
+        for _ in range(epochs[i]):
+            ids = [*tk.encode(text[i] or "", add_special_tokens=False).ids, 2]
+            want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 50
+
+
+def test_op2_op10_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) for i in text}
+    langs, idf, w, temperature = langid.fit(docs.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2"))
+    got = langid.op2_langid(spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert r.held_out == (fold[r.doc_id] % 4 == 2)
+        if not langid.has_letter(text[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        at, v = langid.vector(text[r.doc_id], idf)
+        z = [(sum(x * w[a, k] for a, x in zip(at, v)) + w[-1, k]) / temperature for k in range(len(langs))]
+        p = np.exp(np.array(z) - max(z))
+        p /= p.sum()
+        assert r.score == pytest.approx(p.max(), abs=1e-4) and (r.lang_pred == langs[int(p.argmax())] or np.sort(p)[-2] > p.max() - 1e-4)
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1"))
+    got = quality.op10_quality(spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        p = quality_by_hand(text[r.doc_id], model)
+        assert r.held_out == (fold[r.doc_id] % 3 == 1) and r.score == pytest.approx(p, abs=1e-4) and (r.predicted == (p >= 0.5) or abs(p - 0.5) < 1e-4)
