@@ -236,6 +236,15 @@ def rank_context(spark, sf_dir):
     return context.ranked(rows, "q", "text", "p", group="source", index="doc_id").select("doc_id", "source", F.round("score", 9).alias("score"), "rank")
 
 
+@query(rf"""WITH q AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS q FROM benchmark WHERE item_id % 50 = 0),
+s AS (SELECT query_id, doc_id, source, CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect({_TERMS.format('text')}, q)) / len(q) END * 0.7 + (doc_id % 10) / 10 * 0.2 + 0.0 * 0.1 AS score FROM documents, q)
+SELECT query_id, doc_id, source, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS rank FROM s""")
+def rank_contexts(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    rows = table(spark, sf_dir, "documents").join(F.broadcast(q)).withColumn("p", (F.col("doc_id") % 10) / 10).withColumn("g", F.struct("query_id", "source"))
+    return context.ranked(rows, "q", "text", "p", group="g", index="doc_id").select("query_id", "doc_id", "source", F.round("score", 9).alias("score"), "rank")
+
+
 @query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor((length(text) / 4 + len(regexp_extract_all(text, '\S+'))) / 2 + 0.5)) END::BIGINT AS tokens, (turn % 3)::DOUBLE AS score, role = 'system' AS req FROM conversations),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY req DESC, score / greatest(1, tokens) DESC, score DESC, turn) AS k FROM t),
 f AS (SELECT conv_id, turn, k, tokens <= 200 AS selected, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used FROM o WHERE k = 1

@@ -44,3 +44,17 @@ def test_vector_top_k_in_blocks(spark):
     want = sorted(context.vector_top_k(docs, queries, 4).collect())
     got = sorted(context.vector_top_k(docs, queries, 4, most_queries=6).collect())
     assert got == want and len(want) == 20 * 4
+
+
+def test_rank_contexts_ranks_every_stated_query(spark, tmp_path):
+    from loomtext.plans import catalogue
+
+    spark.createDataFrame([(0, "a b"), (1, "c"), (50, "c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["a c", "b A", "d e c", "zz", "c"]
+    spark.createDataFrame([(i * 10, t, "xy"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for query, about in ((0, {"a", "b"}), (50, {"c", "d", "e"})):
+        for source in "xy":
+            mine = sorted((-len(about & set(t.lower().split())) / len(about) * 0.7, i * 10) for i, t in enumerate(texts) if "xy"[i % 2] == source)
+            want += [(query, i, source, round(-s, 9), k + 1) for k, (s, i) in enumerate(mine)]
+    assert sorted(map(tuple, catalogue.QUERIES["rank_contexts"](spark, str(tmp_path)).collect())) == sorted(want)
