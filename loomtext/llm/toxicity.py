@@ -1,156 +1,286 @@
-"""Toxicity: class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihood.
+"""Toxicity: class-conditional Kneser-Ney models of spelling, compared by length-normalised log-likelihood.
 
-Words are 64-bit hashes, and every (class, word) and (class, word before, word) has its own exact count in a written
-table that grows with the corpus; only two words with the same 64 bits would share one. In each class, discounted
-bigram counts back off to the class's continuation counts, and these to continuation counts that both classes share,
-which smooth rare expressions alike. A bounded draw of labelled rows calibrates the score; the classes count all other
-labelled rows, and the shared counts these and the rows without a label.
+A text is its words, lower-cased, letters only, one space after each. For each class c, a character x after the
+``order - 1`` characters h has the interpolated Kneser-Ney probability
 
-What the discounts take entirely has a ratio of exactly 1. So tasks get only the words and pairs whose ratio differs, and
-what tells the ratio of a pair that was never seen; the scores are those of the whole table.
+    P_c(x | h) = (n_c(hx) - min(n_c(hx), discount)) / n_c(h) + share_c(h) * P(x | h'),
+
+share_c(h) being what the discounts took, and P the lower-order Kneser-Ney model, from continuation counts that both
+classes and the rows without a label share: rare expressions are smoothed alike in both classes. What no class has
+seen more than ``discount`` times cancels in the ratio of the classes, so the ratio of a character is
+
+    log share_1(h) - log share_0(h), plus a term of hx if a class has seen hx more often than that.
+
+These terms are a table of one number per context and n-gram, which grows with the corpus. It is broadcast in
+blocks of ``most_entries``; beyond one block, rows are scanned once for each block and the sums are kept with them.
+
+A text's score compares the two likelihoods over the whole text and over its best runs of a few words (``RUNS``),
+each divided by its length in words, so that one abusive line in a long text counts. A bounded draw of
+labelled rows, which no count has seen, calibrates the score.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix, saved, word_hashes
-from .decontaminate import NORMAL
+from .common import crc_mod, mix, saved
 
-EDGE = 0x5BD1E995A7C3F10D
-SIGMAS, DISCOUNT, BACKOFF = 3.0, 2.0, 0.75
-#: A count of 0 is settled at 1 if no more than this is expected: e <= DISCOUNT + SIGMAS * sqrt(e) holds up to 12.68.
-SURE = 12.6
+ORDER, DISCOUNT, BACKOFF = 5, 2.0, 0.75
+RUNS = (1, 3, 8)
+FEATURES = 3 + len(RUNS)
+BLOCK = 1 << 20
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_BASE, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5BD1E995A7C3F10D)
 
 
 class Model(NamedTuple):
-    """Words (sorted hashes; columns: ratio, backed-off probability and count by class, weight of the back-off) and pairs (sorted hashes, ratios)."""
-
-    words: np.ndarray
-    about: np.ndarray
-    pairs: np.ndarray
-    ratio: np.ndarray
+    """``terms`` is a written table (key long, w float); ``weights`` are those of ``describe``'s numbers."""
+
+    terms: DataFrame
+    order: int
+    most_entries: int
+    weights: np.ndarray
+
+
+def normal(text: str | None) -> str:
+    """The words in lower case, letters only, a space after each."""
+    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return words + " " if words else ""
+
+
+def pieces(norm: str, order: int, size: int = BLOCK) -> Iterator[str]:
+    """``norm`` in runs of whole words of about ``size`` characters, each with the ``order - 1`` characters before it."""
+    at = 0
+    while at < len(norm):
+        to = norm.find(" ", at + size) + 1 or len(norm)
+        yield (" " * (order - 1) + norm[max(0, at - order + 1) : at])[1 - order :] + norm[at:to]
+        at = to
+
+
+def hashes(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams that begin at each code point, and of their contexts."""
+    n = max(0, len(points) - order + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(order - 1):
+        h = h * _BASE + points[i : i + n] + np.uint64(1)
+    return mix(h * _BASE + points[order - 1 :] + np.uint64(1)) if n else h, mix(h ^ _CONTEXT)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+
+class Grams(NamedTuple):
+    """Positions of some texts that a model predicts: what they are, and the word they belong to."""
+
+    joined: str
+    at: np.ndarray  # where each one's n-gram begins
+    gram: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+
+
+def grams_of(parts: list[str], order: int) -> Grams:
+    joined = "".join(parts)
+    points = code_points(joined)
+    gram, context = hashes(points, order)
+    own = np.ones(len(points), bool)
+    starts = np.cumsum([0, *map(len, parts)])[:-1]
+    own[(starts[:, None] + np.arange(order - 1)).ravel()] = False
+    at = np.flatnonzero(own) - (order - 1)
+    ends = (points[own] == 32).astype(np.int64)
+    return Grams(joined, at, gram[at], context[at], np.cumsum(ends) - ends)
+
+
+def batched(texts, order: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(words of each row, pieces of all) of consecutive rows with about ``BLOCK`` characters, or of one longer row."""
+    words, parts, size = [], [], 0
+    for t in texts:
+        norm = normal(t)
+        if words and size + len(norm) > BLOCK:
+            yield words, parts
+            words, parts, size = [], [], 0
+        words.append(norm.count(" "))
+        parts.extend(pieces(norm, order))
+        size += len(norm)
+    if words:
+        yield words, parts
+
+
+def word_terms(parts: list[str], order: int, keys: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Summed terms of each word of the pieces."""
+    out = []
+    while parts:
+        n, size = 0, 0
+        while n < len(parts) and (not n or size + len(parts[n]) <= BLOCK):
+            size, n = size + len(parts[n]), n + 1
+        g = grams_of(parts[:n], order)
+        codes, kinds = pd.factorize(g.gram)
+        one = np.empty(len(kinds), np.int64)
+        one[codes[::-1]] = np.arange(len(codes))[::-1]
+        total = np.zeros(len(kinds))
+        for wanted in (kinds, g.context[one]):
+            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+            total += np.where(keys[at] == wanted, w[at], 0.0) if len(keys) else 0.0
+        out.append(np.bincount(g.word, total[codes]) if len(codes) else np.zeros(0))
+        parts = parts[n:]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def describe(words: np.ndarray) -> list[float]:
+    """1, the mean log-likelihood ratio of a text's words, that of its best runs of ``RUNS`` words, and its length."""
+    n = len(words)
+    if not n:
+        return [1.0] + [0.0] * (FEATURES - 1)
+    until = np.concatenate(([0.0], np.cumsum(words)))
+    best = [float((until[m:] - until[:-m]).max() if n > m else until[-1]) / m for m in RUNS]
+    return [1.0, float(until[-1]) / n, *best, float(np.log1p(n)) / 10]
+
+
+def shared_model(grams: DataFrame, order: int) -> DataFrame:
+    """(g, p) of the n-grams of ``order - 1``: Kneser-Ney by continuation counts, from the different n-grams (g) of ``order``."""
+    levels, now = {}, grams.select("g")
+    for k in range(order - 1, 0, -1):
+        now = levels[k] = saved(now.groupBy(F.substr("g", F.lit(2)).alias("g")).agg(F.count("*").alias("c")), f"order{k}")
+    whole = levels[1].agg(F.sum("c"), F.count("*")).first()
+    total, kinds = float(whole[0] or 1), float(whole[1])
+    taken = lambda c: F.greatest(c - BACKOFF, F.lit(0.0))
+    p = levels[1].select("g", (taken(F.col("c")) / total + BACKOFF * kinds / total / (kinds + 1)).alias("p"))
+    for k in range(2, order):
+        mine = Window.partitionBy(F.substr("g", F.lit(1), F.lit(k - 1)))
+        t = levels[k].withColumn("n", F.sum("c").over(mine)).withColumn("share", BACKOFF * F.count("*").over(mine) / F.col("n"))
+        p = t.withColumn("s", F.substr("g", F.lit(2))).join(p.withColumnRenamed("g", "s"), "s").select("g", (taken(F.col("c")) / F.col("n") + F.col("share") * F.col("p")).alias("p"))
+    return p
+
+
+def class_model(grams: DataFrame, order: int, discount: float) -> tuple[DataFrame, DataFrame]:
+    """((h, l), (g, w)) from counted n-grams (g, n0, n1): the ratio of the shares of each context, and what seen n-grams add to it."""
+    mine = Window.partitionBy("h")
+    t = grams.where("n0 + n1 > 0").withColumn("h", F.substr("g", F.lit(1), F.lit(order - 1)))
+
+    def less(c: int) -> Column:
+        return F.least(F.col(f"n{c}").cast("double"), F.lit(discount))
+
+    for c in (0, 1):
+        t = t.withColumn(f"a{c}", F.sum(f"n{c}").over(mine)).withColumn(f"b{c}", F.sum(less(c)).over(mine))
+        t = t.withColumn(f"s{c}", F.when(F.col(f"a{c}") > 0, F.col(f"b{c}") / F.col(f"a{c}")).otherwise(1.0))
+    t = saved(t.withColumn("l", F.log("s1") - F.log("s0")), "classes")
+    contexts = t.groupBy("h").agg(F.first("l").alias("l")).where("l <> 0")
+    seen = t.where(F.greatest("n0", "n1") > discount).withColumn("s", F.substr("g", F.lit(2)))
+    seen = seen.join(shared_model(grams, order).withColumnRenamed("g", "s"), "s")
+    p0, p1 = (F.when(F.col(f"a{c}") > 0, (F.col(f"n{c}") - less(c)) / F.col(f"a{c}")).otherwise(0.0) + F.col(f"s{c}") * F.col("p") for c in (0, 1))
+    return contexts, seen.select("g", (F.log(p1) - F.log(p0) - F.col("l")).alias("w"))
+
+
+def keyed(terms: DataFrame, order: int, context: bool) -> DataFrame:
+    """(key, w) of contexts or n-grams (text, w)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                points = code_points("".join(b.column(0).to_pylist())).reshape(b.num_rows, -1)
+                h = np.zeros(b.num_rows, np.uint64)
+                for i in range(order - 1):
+                    h = h * _BASE + points[:, i] + np.uint64(1)
+                key = mix(h ^ _CONTEXT) if context else mix(h * _BASE + points[:, order - 1] + np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1).cast(pa.float32())], names=["key", "w"])
 
-def word_numbers(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words, with the sentence edge before and after."""
-    edge = np.array([EDGE], np.uint64)
-    return np.concatenate((edge, word_hashes(text), edge))
-
+    return terms.mapInArrow(run, "key long, w float")
 
-def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(v))
 
+def count_grams(rows: DataFrame, order: int, step: int = 4 * BLOCK) -> DataFrame:
+    """(g, n0, n1) of rows (z, y): compressed normal texts, and their class or null; n-grams of the latter count 0 in both."""
 
-def settled(n, expected, sigmas: float = SIGMAS, discount: float = DISCOUNT, m=np):
-    """A class's estimate over the shared one, after discounting; of arrays, or of columns with ``m=F``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {0: [], 1: [], None: []}
+        size = dict.fromkeys(held, 0)
+
+        def flush(y):
+            g = grams_of(held[y], order)
+            codes, kinds = pd.factorize(g.gram)
+            one = np.empty(len(kinds), np.int64)
+            one[codes] = np.arange(len(codes))
+            text = [g.joined[a : a + order] for a in g.at[one].tolist()]
+            n, none = np.bincount(codes, minlength=len(kinds)), np.zeros(len(kinds), np.int64)
+            held[y], size[y] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(n if y == 0 else none), pa.array(n if y == 1 else none)], names=["g", "n0", "n1"])
 
-    The discount takes ``discount + sigmas * sqrt(expected)`` of what the class's count differs from the count that the
-    shared estimate expects, and gives it to the shared estimate: what chance or rarity explains backs off entirely.
-    """
-    off = n - expected
-    most = (lambda x: F.greatest(x, F.lit(0.0))) if m is F else (lambda x: np.maximum(x, 0))
-    return (expected + m.sign(off) * most(m.abs(off) - discount - sigmas * m.sqrt(expected)) + 1) / (expected + 1)
-
-
-def model_of(pairs: DataFrame) -> Model:
-    """The model of exact counts (u, v, n0, n1, n, c0, c1, c, k): of the pair by class and in all, of u by class and in all, and of the different words after u."""
-    after = saved(pairs.groupBy(F.col("v").alias("w")).agg(F.count_if(F.col("n0") > 0).alias("a0"), F.count_if(F.col("n1") > 0).alias("a1"), F.count("*").alias("a")), "after")
-    seen = after.agg(F.sum("a0"), F.sum("a1"), F.sum("a"), F.count("*")).first()
-    total0, total1, total, kinds = (float(x or 0) for x in seen)
-    rest = BACKOFF * kinds / max(1.0, total) / (kinds + 1)  # for each word, and as much for all unknown ones
-    base = F.greatest(F.coalesce("a", F.lit(0)) - BACKOFF, F.lit(0.0)) / max(1.0, total) + rest
-
-    def low(c: int) -> Column:
-        return settled(F.coalesce(f"a{c}", F.lit(0)).cast("double"), base * (total0, total1)[c], m=F)
-
-    after = after.select("w", base.alias("base"), low(0).alias("l0"), low(1).alias("l1"))
-    before = pairs.groupBy(F.col("u").alias("w")).agg(*(F.first(x).alias(x) for x in ("c0", "c1", "c", "k")))
-    weight = F.least(F.lit(1.0), BACKOFF * F.col("k") / F.col("c"))
-    words = after.join(before.withColumn("weight", weight), "w", "full").select(
-        "w", (F.log("l1") - F.log("l0")).alias("r"), (F.col("base") * F.col("l0")).alias("b0"), (F.col("base") * F.col("l1")).alias("b1"), "c0", "c1", "weight"
-    ).fillna(0.0)
-    words = saved(words, "words")
-    top = words.agg(*(F.max(x) for x in ("b0", "b1")), *(F.max(F.col(f"c{c}") * F.col("weight")) for c in (0, 1))).first()
-    b0, b1, g0, g1 = (float(x or 0) for x in top)
-    # a pair never seen tells something only if both of its words are frequent
-    tells = (F.col("r") != 0) | (F.greatest(F.col("c0") * F.col("weight") * b0, F.col("c1") * F.col("weight") * b1, F.col("b0") * g0, F.col("b1") * g1) > SURE)
-    told = words.where(tells).toArrow()
-
-    def expected(c: int) -> Column:
-        both = F.greatest(F.col("n") - BACKOFF, F.lit(0.0)) / F.col("c") + weight * F.col("base")
-        return F.col(f"c{c}") * F.least(both * F.col(f"l{c}"), F.lit(1.0))
-
-    unseen = F.greatest(*(F.col(f"c{c}") * F.least(weight * F.col("base") * F.col(f"l{c}"), F.lit(1.0)) for c in (0, 1)))
-    most = [float(x or 0) for x in after.agg(F.max("l0"), F.max("l1")).first()]
-    # of a pair left out here, a class expects SURE at most, whatever v is, and its count is within the discount
-    bound = [F.col(f"c{c}") * (F.greatest(F.col("n") - BACKOFF, F.lit(0.0)) / F.col("c") * most[c] + weight * (b0, b1)[c]) for c in (0, 1)]
-    maybe = pairs.where((F.greatest("n0", "n1") > DISCOUNT) | (F.greatest(*bound) > SURE)).join(after, F.col("v") == F.col("w"))
-    parts = (F.log(settled(F.col(f"n{c}").cast("double"), expected(c), m=F)) for c in (1, 0))
-    ratio = next(parts) - next(parts)
-    kept = maybe.select("u", "v", ratio.alias("r"), unseen.alias("e")).where((F.col("r") != 0) | (F.col("e") > SURE)).select("u", "v", "r").toArrow()
-
-    def hashes(t, name):
-        return t[name].to_numpy().astype(np.int64).view(np.uint64)
-
-    w, p = hashes(told, "w"), pair_hash(hashes(kept, "u"), hashes(kept, "v"))
-    about = np.stack([told[x].to_numpy().astype(float) for x in ("r", "b0", "b1", "c0", "c1", "weight")], 1)
-    by_word, by_pair = np.argsort(w), np.argsort(p)
-    return Model(w[by_word], about[by_word], p[by_pair], kept["r"].to_numpy().astype(float)[by_pair])
-
-
-def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places among the sorted keys, whether they hold what is wanted)."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def ratios(model: Model, numbers: np.ndarray) -> np.ndarray:
-    """log P(word | word before, toxic) - log P(word | word before, ordinary).
-
-    Both classes share one interpolated Kneser-Ney bigram model; each tilts it by its discounted
-    lower order, and then by its discounted bigram counts.
-    """
-    at, known = found(model.words, numbers)
-    u, v, both = at[:-1], at[1:], known[:-1] & known[1:]
-    out = np.zeros(len(v))
-    out[known[1:]] = model.about[v[known[1:]], 0]
-    pair, there = found(model.pairs, pair_hash(numbers[:-1], numbers[1:]))
-    out[there] += model.ratio[pair[there]]
-    new = both & ~there
-    u, v = model.about[u[new]], model.about[v[new]]
-    for c, sign in ((0, -1), (1, 1)):
-        out[new] += sign * np.log(settled(0.0, u[:, 3 + c] * np.minimum(u[:, 5] * v[:, 1 + c], 1)))
-    return out
+        for b in batches:
+            for z, y in zip(b.column(0), b.column(1).to_pylist()):
+                for p in pieces(zstandard.decompress(z.as_py()).decode(), order):
+                    held[y].append(p)
+                    size[y] += len(p)
+                    if size[y] > step:
+                        yield flush(y)
+        for y in held:
+            if held[y]:
+                yield flush(y)
+
+    return rows.mapInArrow(run, "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def described(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (text, ...) with ``f``, the numbers of ``describe``, in place of the text."""
+    blocks = max(1, -(-model.terms.count() // model.most_entries))
+    rest = [c for c in rows.columns if c != "text"]
+    rows = rows.withColumn("__sum", F.lit(None).cast("array<double>"))
+    for n in range(blocks):
+        t = model.terms.where(F.pmod(F.col("key"), F.lit(blocks)) == n).toArrow()
+        keys = t["key"].to_numpy().astype(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        rows = _block(rows, rest, model.order, keys[by], t["w"].to_numpy().astype(np.float32)[by], n == blocks - 1)
+        rows = rows if n == blocks - 1 else saved(rows, "sums")
+    return rows
+
+
+def _block(rows: DataFrame, rest: list[str], order: int, keys: np.ndarray, w: np.ndarray, last: bool) -> DataFrame:
+    shipped = rows.sparkSession.sparkContext.broadcast((keys, w))
+    schema = rows.select(*rest, "text", "__sum").schema if not last else rows.select(*rest, F.array(F.lit(0.0)).alias("f")).schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, w = shipped.value
+        for b in batches:
+            texts, before, out = b.column(len(rest)).to_pylist(), b.column(len(rest) + 1), []
+            for words, parts in batched(texts, order):
+                for own in np.split(word_terms(parts, order, keys, w), np.cumsum(words)[:-1]):
+                    old = before[len(out)]
+                    own = own + old.values.to_numpy(zero_copy_only=False) if old.is_valid else own
+                    out.append(describe(own) if last else own)
+            columns = [*b.columns[: len(rest)], *([] if last else [b.column(len(rest))]), pa.array(out, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*zip(b.schema.names[: len(columns) - 1], [c.type for c in columns[:-1]]), ("f" if last else "__sum", columns[-1].type)]))
 
-def describe(model: Model, text: bytes) -> list[float]:
-    """Bias, the log-likelihood ratio over the length, and over its square root."""
-    r = ratios(model, word_numbers(text))
-    return [1.0, float(r.mean()), float(r.sum() / np.sqrt(len(r)))]
+    return rows.select(*rest, "text", "__sum").mapInArrow(run, schema)
 
 
-def normal(text: str | None) -> bytes:
-    return (text or "").encode().translate(NORMAL)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Newton steps of a weighted logistic regression with a slight ridge."""
+    b = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(b))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * b)
+        b += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", ranges: int = 512, calibrate_per_class: int = 4000):
-    """(model, calibration) from labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, discount: float = DISCOUNT, calibrate_per_class: int = 4000, most_entries: int = 4_000_000) -> Model:
+    """The models from labelled rows; an id with several labels takes the largest, rows that repeat count each.
 
-    Of the labelled rows whose crc32(id as text) modulo 16 is below 4, about ``calibrate_per_class`` of each class calibrate at most; all
-    others are counted, those without a label in the shared counts only. Texts travel compressed to their label; then each
-    batch sends sorted pair counts to the owners of word ranges.
+    Of the labelled rows whose crc32(id as text) modulo 16 is below 4, about ``calibrate_per_class`` of each class calibrate at
+    most; all others are counted, those without a label in the shared counts only. Without labels of both classes, every text
+    scores below one half. Texts travel compressed to their label.
     """
-    spark = docs.sparkSession
     named = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -158,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(normal(t.as_py())) for t in b.column(1)], pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(normal(t.as_py()).encode("utf-8", "replace")) for t in b.column(1)], pa.binary())], names=["id", "z"])
 
     fold = F.pmod(F.shiftright(F.crc32(F.col("id").cast("string").cast("binary")), 2), F.lit(4))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
@@ -167,96 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     calibrates = (fold == 0) & (draw < F.when(F.col("y") == 1, most[1]).otherwise(most[0])) & F.col("y").isNotNull()
     # always a shuffle of both sides: labels grow with the corpus, so the plan is the same at every size
     counted = rows.mapInArrow(squeeze, f"id {kind}, z binary").join(named.hint("shuffle_hash"), "id", "left").where(~F.coalesce(calibrates, F.lit(False)))
-
-    def summed(u, v, n):
-        """Sorted different pairs with their summed counts (one row a class)."""
-        by = np.lexsort((v, u))
-        u, v, n = u[by], v[by], n[:, by]
-        at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
-        return u[at], v[at], np.add.reduceat(n, at, axis=1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            u, v, n = summed(*(np.concatenate(x, axis=-1) for x in zip(*rows)))
-            part = (u >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            packed = np.concatenate((u[None].view(np.int64), v[None].view(np.int64), n))
-            blobs = [zstandard.compress(x.astype("<i8").tobytes(), 1) for x in np.split(packed, cut[1:], axis=1)]
-            return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
-        rows, size = [], 0
-        for b in batches:
-            for z, y in zip(b.column(0), b.column(1).to_pylist()):
-                w = word_numbers(zstandard.decompress(z.as_py()))
-                n = np.zeros((3, len(w) - 1), np.int64)
-                n[2 if y is None else 1 if y == 1 else 0] = 1
-                rows.append((w[:-1], w[1:], n))
-                size += len(w)
-                if size > 2_000_000:
-                    yield flush(rows)
-                    rows, size = [], 0
-        if rows:
-            yield flush(rows)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(blobs):
-            raw = np.concatenate([np.frombuffer(zstandard.decompress(b), "<i8").reshape(5, -1) for b in blobs], axis=1)
-            u, v, n = summed(raw[0].view(np.uint64), raw[1].view(np.uint64), raw[2:])
-            at = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-            many = np.diff(np.append(at, len(u)))
-            c = np.add.reduceat(n, at, axis=1)
-            columns = [u.view(np.int64), v.view(np.int64), *n[:2], n.sum(0), *(np.repeat(x, many) for x in (*c[:2], c.sum(0), many))]
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["u", "v", "n0", "n1", "n", "c0", "c1", "c", "k"])
-
-        part, got = None, []
-        for b in batches:
-            for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if p != part and got:
-                    yield table(got)
-                    got = []
-                part = p
-                got.append(blob)
-        if got:
-            yield table(got)
-
-    sent = counted.select("z", "y").mapInArrow(count, "part int, blob binary")
-    pairs = saved(sent.repartition("part").sortWithinPartitions("part").mapInArrow(own, "u long, v long, n0 long, n1 long, n long, c0 long, c1 long, c long, k long"), "pairs")
-    shipped = spark.sparkContext.broadcast(model_of(pairs))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = [describe(shipped.value, normal(t.as_py())) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], names=["f", "y"])
-
+    grams = saved(count_grams(counted.select("z", "y"), order), "grams")
+    contexts, seen = class_model(grams, order, discount)
+    model = Model(saved(keyed(contexts, order, True).unionByName(keyed(seen, order, False)), "terms"), order, most_entries, np.array([-1.0, *[0.0] * (FEATURES - 1)]))
     if not sizes.get(0) or not sizes.get(1):
-        return shipped, np.array([-1.0, 4.0, 0.0])
-    got = rows.where(fold == 0).join(F.broadcast(named.where(calibrates)), "id").select("text", "y").mapInArrow(held, "f array<double>, y int").toArrow()
-    x, y = np.array(got["f"].to_pylist()).reshape(-1, 3), got["y"].to_numpy().astype(float)
+        return model
+    got = described(rows.where(fold == 0).join(F.broadcast(named.where(calibrates)), "id").select("text", "y"), model).toArrow()
+    x, y = np.array(got["f"].to_pylist()).reshape(-1, FEATURES), got["y"].to_numpy().astype(float)
     drawn = np.bincount(y.astype(int), minlength=2)
-    weight = np.where(y == 1, sizes[1] / max(1, drawn[1]), sizes[0] / max(1, drawn[0]))
-    b = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps of a weighted logistic regression with a slight ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(b))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * b)
-        b += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return shipped, b
+    return model._replace(weights=logistic(x, y, np.where(y == 1, sizes[1] / max(1, drawn[1]), sizes[0] / max(1, drawn[0]))))
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row: 0 to 1, higher if label 1 is likelier; null, empty and blank texts score as no words."""
-    shipped, b = model
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shipped.value
-        for batch in batches:
-            z = np.array([describe(tables, normal(t.as_py())) for t in batch.column(1)]).reshape(-1, len(b)) @ b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    rows = described(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
+    z = sum((F.col("f")[i] * float(b) for i, b in enumerate(model.weights)), F.lit(0.0))
+    return rows.select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -308,80 +309,118 @@ def test_pipeline_runs(spark):
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in kept.collect())
 
 
-def toxicity_by_hand(counted, text):
-    """Length and summed log ratio of a text by exact counts of (text, class) rows, with dicts of words and pairs."""
+def toxicity_by_hand(counted, order=5, discount=2.0):
+    """P(class, x, h) and the features of a text, by exact counts of (text, class) rows in dicts; Kneser-Ney written out."""
 
-    def words(t):
-        return [None, *(t or "").encode().translate(decontaminate.NORMAL).split(), None]
+    def chars(t):
+        w = re.findall(r"[^\W\d_]+", (t or "").lower())
+        return " " * (order - 1) + "".join(x + " " for x in w), len(w)
 
-    n, shared, context = [Counter(), Counter()], Counter(), [Counter(), Counter()]
+    n, kinds = [Counter(), Counter()], set()
     for t, y in counted:
-        w = words(t)
-        for pair in zip(w, w[1:]):
-            shared[pair] += 1
+        s = chars(t)[0]
+        for i in range(len(s) - order + 1):
+            kinds.add(s[i : i + order])
             if y is not None:
-                n[y][pair] += 1
-                context[y][pair[0]] += 1
-    ctx, kinds, after, by = Counter(), Counter(), Counter(), [Counter(v for _, v in n[c]) for c in (0, 1)]
-    for (u, v), x in shared.items():
-        ctx[u] += x
-        kinds[u] += 1
-        after[v] += 1
-    total, many = max(1, sum(after.values())), len(after)
-
-    def settled(x, e):
-        off = x - e
-        return (e + np.sign(off) * max(abs(off) - 2 - 3 * np.sqrt(e), 0) + 1) / (e + 1)
-
-    out = 0.0
-    w = words(text)
-    for u, v in zip(w, w[1:]):
-        base = max(after[v] - 0.75, 0) / total + 0.75 * many / total / (many + 1)
-        seen = max(1, ctx[u])
-        both = max(shared[u, v] - 0.75, 0) / seen + min(1, 0.75 * kinds[u] / seen) * base
-        for c, sign in ((0, -1), (1, 1)):
-            low = settled(by[c][v], sum(by[c].values()) * base)
-            out += sign * (np.log(low) + np.log(settled(n[c][u, v], context[c][u] * min(both * low, 1))))
-    return len(w) - 1, out
-
-
-def test_toxicity_exact_counts(spark):
-    rng = random.Random(8)
-    # two words that share the first 18 bits of their hashes, as words shared a slot before
-    slots = {}
-    for i in range(20_000):
-        h = int(toxicity.word_hashes(b"q%d" % i)[0]) >> 46
-        if h in slots:
-            break
-        slots[h] = f"q{i}"
-    bad, good = slots[h], f"q{i}"
-    frequent = [f"f{i}" for i in range(12)]
+                n[y][s[i : i + order]] += 1
+    level = {order: kinds}
+    count = {}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in level[k + 1])
+        level[k] = set(count[k])
+    after = {k: {} for k in range(1, order)}
+    for k in range(1, order):
+        for g, c in count[k].items():
+            after[k].setdefault(g[:-1], []).append(c)
+    total, alphabet = sum(count[1].values()), len(count[1])
+
+    def shared(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        if g[:-1] not in after[len(g)]:
+            return shared(g[1:])
+        own = after[len(g)][g[:-1]]
+        return max(count[len(g)][g] - 0.75, 0) / sum(own) + 0.75 * len(own) / sum(own) * shared(g[1:])
+
+    context = [{}, {}]
+    for c in (0, 1):
+        for g, x in n[c].items():
+            context[c].setdefault(g[:-1], []).append(x)
+
+    def p(c, h, x):
+        own = context[c].get(h)
+        if own is None:
+            return shared(h[1:] + x)
+        share = sum(min(y, discount) for y in own) / sum(own)
+        return max(n[c][h + x] - discount, 0) / sum(own) + share * shared(h[1:] + x)
+
+    def features(t):
+        s, words = chars(t)
+        r, k = [0.0] * words, 0
+        for i in range(order - 1, len(s)):
+            h, x = s[i - order + 1 : i], s[i]
+            r[k] += np.log(p(1, h, x)) - np.log(p(0, h, x))
+            k += x == " "
+        best = [max(sum(r[i : i + m]) for i in range(max(1, words - m + 1))) / m for m in (1, 3, 8)]
+        return [1.0, sum(r) / words, *best, np.log1p(words) / 10] if words else [1.0, 0, 0, 0, 0, 0]
+
+    return p, features, sorted(count[1]), context
+
+
+def toxic_rows(seed, n=700):
+    rng = random.Random(seed)
+    part = ["th", "on", "ing", "er", "ba", "lu", "è", "ment"]
     table = []
-    for i in range(900):
-        w = [rng.choice(frequent) if rng.random() < 0.6 else f"w{rng.randrange(400)}" for _ in range(40)]
-        # f0 never stands before f1
-        w = [x for a, x in zip([""] + w, w) if (a, x) != ("f0", "f1")] + ([bad] * 2 if i % 5 == 0 else [good] * 2)
-        table.append((i, " ".join(w)))
-    fold = {i: zlib.crc32(str(i).encode()) // 4 % 4 for i, _ in table}
-    df = spark.createDataFrame([*table, (1000, None), (1001, "f0 f1 f0 f1 never"), (1002, f"{good} {bad}")], "doc_id long, text string")
-    shipped, b = toxicity.fit(df.where("doc_id < 900"), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in table], "doc_id long, toxic int"))
-    counted = [(t, int(i % 5 == 0)) for i, t in table if fold[i] != 0]
-    got = {r.id: r.score for r in toxicity.score(df, (shipped, b)).collect()}
-    wide = []
-    for i, t in [*table[:40], (1000, None), (1001, "f0 f1 f0 f1 never"), (1002, f"{good} {bad}")]:
-        size, r = toxicity_by_hand(counted, t)
-        wide.append(abs(r))
-        z = b @ [1.0, r / size, r / np.sqrt(size)]
-        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
-    assert max(wide) > 1 and wide[-2] > 0
+    for i in range(n):
+        w = ["".join(rng.choice(part) for _ in range(rng.randint(1, 3))) for _ in range(40)]
+        bad = i % 5 == 0
+        w += ["scum", "luxba" + rng.choice(part)] if bad else []
+        rng.shuffle(w)
+        table.append((i, " ".join(w).capitalize() + "!", int(bad) if i % 7 else None))
+    return [*table, table[3], table[5]]
+
+
+def test_toxicity_is_kneser_ney(spark):
+    table = toxic_rows(8)
+    fold = {i: zlib.crc32(str(i).encode()) // 4 % 4 for i, *_ in table}
+    more = [(1000, None), (1001, "scum zzz"), (1002, ""), (1003, "12 !?"), (1004, "on " * 30_000), (1000, "again")]
+    df = spark.createDataFrame([*[(i, t, "clash") for i, t, _ in table], *[(i, t, "clash") for i, t in more]], "doc_id long, text string, key string")
+    labels = spark.createDataFrame([(i, y, "clash") for i, _, y in table] + [(3, 0, "twice"), (99_999, 1, "none")], "doc_id long, toxic int, id string")
+    model = toxicity.fit(df.where("doc_id < 700"), labels)
+    counted = [(t, y) for i, t, y in table if fold[i] != 0 or y is None]
+    p, features, alphabet, context = toxicity_by_hand(counted)
+    for c in (0, 1):
+        for h in sorted(context[c])[::40]:
+            assert sum(p(c, h, x) for x in alphabet) < 1 < 1e-6 + sum(p(c, h, x) for x in alphabet) + 1 / (len(alphabet) + 1)
+    got = Counter((r.id, round(r.score, 5)) for r in toxicity.score(df, model).collect())
+    rows = [(i, t) for i, t, _ in table] + more
+    assert sum(got.values()) == len(rows)
+    want = {}
+    for i, t in rows[:60] + more:
+        z = model.weights @ features(t)
+        want[i, t] = 1 / (1 + np.exp(-z))
+        assert any(j == i and abs(s - want[i, t]) < 2e-4 for j, s in got), (i, want[i, t])
+    assert want[1001, "scum zzz"] > 0.3 and toxicity.score(df.limit(0), model).count() == 0
+    split = model._replace(most_entries=-(-model.terms.count() // 3))
+    assert {r.id: r.score for r in toxicity.score(df.where("doc_id < 900"), split).collect()} == pytest.approx({r.id: r.score for r in toxicity.score(df.where("doc_id < 900"), model).collect()}, abs=1e-6)
+    nothing = toxicity.fit(df.limit(0), labels.limit(0))
+    assert [r.score < 0.5 for r in toxicity.score(df.limit(2), nothing).collect()] == [True] * 2
+
+
+def test_toxicity_of_a_larger_corpus(spark):
+    """Recall on toxic words does not fall when ordinary text with other words grows; few of the clean texts are called toxic."""
+    table, rng = toxic_rows(9), random.Random(1)
+    other = [(5000 + i, " ".join("".join(rng.choice(["ka", "po", "mi", "du", "ras"]) for _ in range(3)) for _ in range(60)), 0) for i in range(2800)]
+    test = spark.createDataFrame([(i, t) for i, t, _ in toxic_rows(10)], "doc_id long, text string")
+    truth = {i: i % 5 == 0 for i in range(700)}
+    for extra in ([], other):
+        df = spark.createDataFrame([*table, *extra], "doc_id long, text string, toxic int")
+        got = {r.id: r.score >= 0.3 for r in toxicity.score(test, toxicity.fit(df, df)).collect()}
+        assert np.mean([got[i] for i in got if truth[i]]) > 0.95 and np.mean([got[i] for i in got if not truth[i]]) < 0.05
 
 
 def test_toxicity_counts_all_but_the_draw(spark):
-    rng = random.Random(9)
-    table = []
-    for i in range(800):
-        w = [rng.choice([f"f{k}" for k in range(12)]) if rng.random() < 0.6 else f"w{rng.randrange(400)}" for _ in range(40)]
-        table.append((i, " ".join(w + ["scum"] * (i % 5 == 0)), int(i % 5 == 0) if i % 3 else None))
+    table = toxic_rows(9, 800)[:800]
     fold = {i: zlib.crc32(str(i).encode()) // 4 % 4 for i, *_ in table}
     size = Counter(y for i, _, y in table if fold[i] == 0)
 
@@ -390,13 +429,13 @@ def test_toxicity_counts_all_but_the_draw(spark):
         return y is not None and fold[i] == 0 and draw < int(10 / size[y] * (1 << 30)) + 1
 
     df = spark.createDataFrame([(i, t) for i, t, _ in table], "doc_id long, text string")
-    shipped, b = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int"), calibrate_per_class=10)
+    model = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int"), calibrate_per_class=10)
     counted = [(t, y) for i, t, y in table if not calibrates(i, y)]
     assert 5 < len(table) - len(counted) < 50
-    got = {r.id: r.score for r in toxicity.score(df, (shipped, b)).collect()}
-    for i, t, _ in table[:60]:
-        n, r = toxicity_by_hand(counted, t)
-        assert got[i] == pytest.approx(1 / (1 + np.exp(-(b @ [1.0, r / n, r / np.sqrt(n)]))), abs=1e-9)
+    features = toxicity_by_hand(counted)[1]
+    got = {r.id: r.score for r in toxicity.score(df, model).collect()}
+    for i, t, _ in table[:40]:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.weights @ features(t)))), abs=2e-4)
 
 
 def test_items_without_id(spark, tmp_path):
