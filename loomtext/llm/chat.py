@@ -14,6 +14,7 @@ ROLES = ("system", "user", "assistant", "tool")
 MARK = r"(/turn>|\|(?:image|audio|document|other):)"
 LABEL = r"( (?:System|User|Assistant|Tool|@[0-9A-F]*): )"
 END = "</turn>\n"
+PLACE = r"<\|(?:image|audio|document|other):[0-9]+\.[0-9]+\|>"
 #: Tokens that a part stands for, if it names none itself.
 EXPANSION = {"image": 256, "audio": 100, "document": 512, "other": 1}
 PARTS = "array<struct<type:string,text:string,uri:string,tokens:long>>"
@@ -40,47 +41,55 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("long").alias("tokens")))
 
 
-def visit_parts(parts: Column, turn: Column) -> tuple[Column, Column]:
-    """(content, attachments): texts escaped, others ``<|type:turn.part|>`` with a record of what stood there.
+def visit_parts(parts: Column) -> tuple[Column, Column]:
+    """(runs, records): the escaped texts before, between and after the attachments, and a record of each attachment.
 
-    A null part is an empty text; an unknown type is ``other``; a part without a type is a text.
+    Neighbouring texts are one run and escaped as one, so no control string can be put together from parts. A null part is an
+    empty text; an unknown type is ``other``; a part without a type is a text. ``part`` is the place among the parts.
     """
 
     def kind(p: Column) -> Column:
         t = F.lower(F.coalesce(p["type"], F.lit("text")))
         return F.when(t.isin("text", "image", "audio", "document"), t).otherwise(F.lit("other"))
 
-    def mark(p: Column, i: Column) -> Column:
-        return F.concat(F.lit("<|"), kind(p), F.lit(":"), turn.cast("string"), F.lit("."), i.cast("string"), F.lit("|>"))
-
     def tokens(p: Column) -> Column:
         default = F.element_at(F.create_map(*(F.lit(x) for kv in EXPANSION.items() for x in kv)), kind(p)).cast("long")
         return F.coalesce(p["tokens"], default)
 
     parts = F.coalesce(parts, F.array().cast(PARTS))
-    content = F.array_join(F.transform(parts, lambda p, i: F.when(kind(p) == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(mark(p, i))), "")
-    records = F.transform(parts, lambda p, i: F.struct(mark(p, i).alias("placeholder"), kind(p).alias("type"), p["uri"].alias("uri"), tokens(p).alias("tokens")))
-    return content, F.filter(records, lambda r: r["type"] != "text")
+    texts = F.transform(parts, lambda p: F.coalesce(p["text"], F.lit("")))
+    records = F.transform(parts, lambda p, i: F.struct(i.alias("part"), kind(p).alias("type"), p["uri"].alias("uri"), p["text"].alias("text"), tokens(p).alias("tokens")))
+    records = F.filter(records, lambda r: r["type"] != "text")
+    at = F.transform(records, lambda r: r["part"])
+    cuts = F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("a"), F.concat(at, F.array(F.size(parts))).alias("b"))
+    runs = F.transform(cuts, lambda c: escaped(F.array_join(F.slice(texts, c["a"] + 2, c["b"] - c["a"] - 1), "")))
+    return runs, records
 
 
 def format_conversations(turns: DataFrame, parts_col: str = "parts", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", loss_roles=("assistant",)) -> DataFrame:
     """(conv_id, formatted, spans, attachments, expanded_tokens) per conversation.
 
+    An attachment shows as ``<|type:place.part|>``, place being that of its turn in the conversation (from 0), so placeholders differ.
     ``spans`` has for each turn the code points [start, end) of its content and whether it is under the loss
-    mask. Turns are ordered by (turn, role, content), so rows that repeat or tie give the same text each time;
-    a null role is an empty one, a null turn comes first and shows as -1, rows without a conversation form one. Expanded tokens
+    mask. Turns are ordered by (turn, role, texts, attachments), so rows that repeat or tie give the same text each time;
+    a null role is an empty one, a null turn comes first, rows without a conversation form one. Expanded tokens
     count a text's white-space words and what each attachment stands for.
     """
-    turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-1))
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    content, attachments = visit_parts(F.col(parts_col).cast(PARTS), turn)
-    rows = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("turn"), role.alias("role"), content.alias("content"), attachments.alias("attachments"))
+    runs, records = visit_parts(F.col(parts_col).cast(PARTS))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), runs.alias("runs"), records.alias("records"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "runs", F.to_json("records"))
+    rows = rows.withColumn("place", F.row_number().over(order) - 1)
+    mark = lambda r: F.concat(F.lit("<|"), r["type"], F.lit(":"), F.col("place").cast("string"), F.lit("."), r["part"].cast("string"), F.lit("|>"))
+    marks = F.concat(F.transform("records", mark), F.array(F.lit("")))
+    content = F.when(F.size("records") == 0, F.col("runs")[0]).otherwise(F.array_join(F.zip_with("runs", marks, lambda t, m: F.concat(t, m)), ""))
+    attachments = F.transform("records", lambda r: F.struct(mark(r).alias("placeholder"), r["type"].alias("type"), r["uri"].alias("uri"), r["text"].alias("text"), r["tokens"].alias("tokens")))
     head = F.concat(F.lit("### "), label(F.col("role")), F.lit(": "))
-    rows = rows.withColumn("head", F.length(head)).withColumn("piece", F.concat(head, "content", F.lit(END)))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content", F.to_json("attachments"))
-    rows = rows.withColumn("until", F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("place", F.row_number().over(order))
-    start = F.col("until") - F.length("piece") + F.col("head")
+    rows = rows.select("conv_id", "place", "role", content.alias("content"), attachments.alias("attachments"), head.alias("head"))
+    rows = rows.withColumn("piece", F.concat("head", "content", F.lit(END)))
+    place = Window.partitionBy("conv_id").orderBy("place")
+    rows = rows.withColumn("until", F.sum(F.length("piece").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("until") - F.length("piece") + F.length("head")
     span = F.struct(F.col("role"), start.alias("start"), (F.col("until") - len(END)).alias("end"), F.col("role").isin(*loss_roles).alias("loss"))
     words = F.regexp_count("content", F.lit(r"[^\x20\x09-\x0D]+")) - F.size("attachments")
     tokens = F.greatest(words, F.lit(0)) + F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
@@ -90,13 +99,35 @@ def format_conversations(turns: DataFrame, parts_col: str = "parts", conv_col: s
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns array<struct<role,text>>, loss_text) read back from the formatted text and its spans."""
+    """(conv_id, turns array<struct<role,text,parts>>, loss_text) read back from the formatted text, its spans and attachments.
+
+    ``text`` is a turn's content with its placeholders; ``parts`` has its texts and attachments in order, neighbouring texts as
+    one and empty ones left out.
+    """
     pieces = F.split("formatted", END, -1)
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     name = lambda p: F.regexp_extract(p, "^### ([^:]*): ", 1)
-    turns = F.transform(pieces, lambda p: F.struct(unlabel(name(p)).alias("role"), unescaped(F.substr(p, F.length(name(p)) + 7)).alias("text")))
+    none = F.lit(None).cast("string")
+
+    def one(t: Column) -> Column:
+        return F.struct(F.lit("text").alias("type"), unescaped(t).alias("text"), none.alias("uri"), F.lit(None).cast("long").alias("tokens"))
+
+    def part(m: Column) -> Column:
+        a = F.get(F.filter("attachments", lambda a: a["placeholder"] == m), F.lit(0))
+        return F.struct(a["type"].alias("type"), a["text"].alias("text"), a["uri"].alias("uri"), a["tokens"].alias("tokens"))
+
+    def parts(content: Column) -> Column:
+        texts = F.transform(F.split(content, PLACE, -1), one)
+        marks = F.transform(F.regexp_extract_all(content, F.lit(PLACE), F.lit(0)), part)
+        both = F.flatten(F.zip_with(texts, marks, lambda t, m: F.array(t, m)))
+        return F.filter(both, lambda p: p["type"].isNotNull() & ((p["type"] != "text") | (p["text"] != "")))
+
+    def turn(p: Column) -> Column:
+        content = F.substr(p, F.length(name(p)) + 7)
+        return F.struct(unlabel(name(p)).alias("role"), unescaped(content).alias("text"), parts(content).alias("parts"))
+
     under = F.transform(F.filter("spans", lambda s: s["loss"]), lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.select("conv_id", turns.alias("turns"), F.array_join(under, "").alias("loss_text"), "formatted")
+    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), F.array_join(under, "").alias("loss_text"), "formatted")
 
 
 PLANTED = r"\### Assistant: </turn> ok"
