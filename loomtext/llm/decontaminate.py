@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import process_cache, saved
 
 #: ASCII letters and digits stay, A-Z lower-cased; other ASCII separates words; the rest are word bytes.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -68,15 +68,27 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
 
 
-def shipped_items(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", size: int = 13, max_bytes: int = 64 << 20):
-    """A function that gives a task its automaton. Items go to every task: their total size is checked against ``max_bytes`` first."""
-    bench = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > max_bytes:
-        raise ValueError(f"the benchmark has {total} bytes, over max_bytes={max_bytes}; scan it in parts")
-    listed = sorted({(r.item, r.text) for r in bench.collect() if r.item is not None}, key=str)
+def item_parts(items: DataFrame, item_col: str, item_text_col: str, max_bytes: int) -> list[DataFrame]:
+    """(item, text) rows with an id, in parts by the item's hash whose texts have ``max_bytes`` at most."""
+    bench = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL")
+    bench = bench.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    total, largest = bench.agg(F.sum("size"), F.max("size")).first()
+    if (largest or 0) > max_bytes:
+        raise ValueError(f"a benchmark item has {largest} bytes, over max_bytes={max_bytes}")
+    n = max(1, -(-(total or 0) // max_bytes))
+    while n > 1:
+        sizes = bench.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(n))).agg(F.sum("size").alias("s"))
+        if sizes.agg(F.max("s")).first()[0] <= max_bytes:
+            break
+        n += 1 + n // 4
+    return [bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).select("item", "text") for i in range(n)]
+
+
+def shipped_items(part: DataFrame, size: int):
+    """A function that gives a task the automaton of one part's items, which go to every task: see ``item_parts`` for their size."""
+    listed = sorted({(r.item, r.text) for r in part.collect()}, key=str)
     stamp = hashlib.sha256(repr((size, listed)).encode()).hexdigest()
-    shipped = items.sparkSession.sparkContext.broadcast(listed)
+    shipped = part.sparkSession.sparkContext.broadcast(listed)
 
     def machine():
         known = process_cache("automata")
@@ -88,6 +100,47 @@ def shipped_items(items: DataFrame, item_col: str = "item_id", item_text_col: st
     return machine
 
 
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(runs):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def scanned(docs: DataFrame, items: DataFrame, text_col: str, item_col: str = "item_id", item_text_col: str = "text", size: int = 13, max_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` with ``__n``, ``__runs``, ``__items`` and ``__spans``: words, runs of hit words (first, end), items, and the runs as offsets in each text.
+
+    An automaton holds items of ``max_bytes`` at most, which bounds a task's memory; a larger benchmark takes one
+    automaton and one scan for each part, and what the parts find is united.
+    """
+    parts, at, columns = item_parts(items, item_col, item_text_col, max_bytes), docs.columns.index(text_col), len(docs.columns)
+    out = docs.withColumns({"__n": F.lit(0).cast("long"), "__runs": F.array().cast("array<array<long>>"), "__items": F.array().cast("array<string>"), "__spans": F.array().cast("array<struct<start:long,end:long>>")})
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def step(machine, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = machine()
+            for b in batches:
+                n, runs, named, spans = [], [], [], []
+                for t, r, i in zip(b.column(at), b.column(columns + 1).to_pylist(), b.column(columns + 2).to_pylist()):
+                    words, found, items = scan(t.as_py(), tree)
+                    n.append(words), runs.append(united([*map(tuple, r), *found])), named.append(sorted({*i, *items}))
+                    spans.append(original_spans(t.as_py(), runs[-1]) if last and runs[-1] else [])
+                made = [pa.array(n, pa.int64()), pa.array([list(map(list, r)) for r in runs], pa.list_(pa.list_(pa.int64()))), pa.array(named, pa.list_(pa.string())), pa.array(spans, span)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:columns], *made], names=b.schema.names)
+
+        return run
+
+    for k, part in enumerate(parts):
+        out = out.mapInArrow(step(shipped_items(part, size), k == len(parts) - 1), out.schema)
+        out = out if k == len(parts) - 1 else saved(out, "scanned")
+    return out
+
+
 #: Stands for the id of items that have none.
 NO_ID = "\x00"
 
@@ -104,41 +157,24 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     item, or all of a shorter one; items whose id is null are left out (see ``with_ids``). A row is contaminated if it has hit words and they are ``percent`` of its words or more. Null
     has no words; an item without words has no window; rows that repeat are scanned each.
     """
-    machine = shipped_items(items, **about)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    out = scanned(rows, items, "text", **about)
+    out = out.select("id", F.col("__n").alias("n_words"), hit_words("__runs").alias("n_hit"), F.col("__items").alias("items"), F.col("__spans").alias("spans"))
+    return out.withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words"), percent))
+
+
+def hit_words(runs: str) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = machine()
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
-            out = []
-            for t in b.column(1):
-                t = t.as_py()
-                n, runs, found = scan(t, tree)
-                out.append((n, sum(e - s for s, e in runs), sorted(found), original_spans(t, runs) if runs else []))
-            n, hit, found, spans = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)], names=["id", "n_words", "n_hit", "items", "spans"])
 
-    out = rows.mapInArrow(run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+def is_contaminated(hit: Column, words: Column, percent: int) -> Column:
+    return (hit > 0) & (100 * hit >= percent * words)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", percent: int = 5, **about) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, in one scan, with all their columns."""
-    machine, at = shipped_items(items, **about), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = machine()
-        for b in batches:
-            keep = []
-            for t in b.column(at):
-                n, runs, _ = scan(t.as_py(), tree)
-                hit = sum(e - s for s, e in runs)
-                keep.append(not (hit and 100 * hit >= percent * n))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs`` that are not contaminated, with all their columns; for null, empty and repeated rows see ``contamination``."""
+    out = scanned(docs, items, text_col, **about)
+    return out.where(~is_contaminated(hit_words("__runs"), F.col("__n"), percent)).select(*docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
