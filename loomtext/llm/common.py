@@ -50,6 +50,23 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], many: str, id_col: str, hot: int = 20_000, most: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once and the number of its rows in ``many``.
+
+    A key with over ``hot`` rows (or the ``most``-th part of all, if that is more) is dealt over several joins by the id's hash. At most
+    ``most`` keys can be that frequent, so their list is broadcast whatever the table's size.
+    """
+    total = table.agg(F.sum(many)).first()[0] or 0
+    limit = max(hot, total // most)
+    parts = F.ceil(F.col(many) / limit).cast("int")
+    if not total > limit:
+        return rows.join(table, on)
+    salts = table.where(F.col(many) > limit).select(*on, parts.alias("__parts"))
+    rows = rows.join(F.broadcast(salts), on, "left").withColumn("__salt", F.pmod(F.xxhash64(id_col), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    dealt = F.when(F.col(many) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return rows.join(table.withColumn("__salt", F.explode(dealt)), [*on, "__salt"]).drop("__salt")
+
+
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n; the tables grow by doubling."""
     tables = process_cache("powers")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import salted_join, saved
 
 
 class Bucket:
@@ -25,7 +25,7 @@ class ExtendibleIndex:
 
     When a bucket that is to be split already uses all bits of the directory, the directory
     doubles. A key's entries form a chain: an entry is [bytes, keep, size], and bytes decide equality, so
-    different texts of one key stay apart.
+    different texts of one key stay apart. ``close`` puts digests in place of a finished key's bytes.
     """
 
     def __init__(self, capacity: int = 64):
@@ -44,6 +44,10 @@ class ExtendibleIndex:
             self.split(bucket)
             bucket = self.slots[key & ((1 << self.depth) - 1)]
 
+    def close(self, key: int) -> None:
+        for entry in self.slots[key & ((1 << self.depth) - 1)].chains[key]:
+            entry[0] = hashlib.sha256(entry[0]).hexdigest()
+
     def split(self, bucket: Bucket) -> None:
         if bucket.depth == self.depth:
             self.slots, self.depth = self.slots * 2, self.depth + 1
@@ -66,15 +70,17 @@ def signed(key: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 64, owners: int | None = None) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 64, owners: int | None = None, per_owner: int = 200_000) -> DataFrame:
     """The index, written to the shared folder: one row per different text.
 
     Each batch folds its own copies first (by bytes), so a hot text sends one entry per
-    batch; the entries go to the owner of their key range, who builds the buckets of that range.
+    batch; the entries go to the owner of their key range, who builds the buckets of that range. They come sorted by key
+    (Spark's sort spills), so an owner holds the bytes of one key at a time and digests of the rest. There is an owner for
+    each ``per_owner`` rows, or twice as many as shuffle partitions if that is more.
     """
     spark = docs.sparkSession
     if owners is None:
-        owners = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        owners = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // per_owner)
     bits = max(3, (owners - 1).bit_length())
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -95,10 +101,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, index, kept = None, None, None
+        owner, index, kept, last = None, None, None, None
 
         def flush():
-            cols = list(zip(*((owner, d, signed(p), signed(k), n, hashlib.sha256(v).hexdigest(), keep, size) for d, p, k, n, v, keep, size in index.entries())))
+            index.close(last)
+            cols = list(zip(*((owner, d, signed(p), signed(k), n, v, keep, size) for d, p, k, n, v, keep, size in index.entries())))
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), kept, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["owner", "depth", "prefix", "key", "chain", "sha256", "keep", "size"])
 
@@ -108,14 +115,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if o != owner:
                     if index is not None:
                         yield flush()
-                    owner, index = o, ExtendibleIndex(capacity)
-                index.add(k % (1 << 64), v, keep, size)
+                    owner, index, last = o, ExtendibleIndex(capacity), None
+                k %= 1 << 64
+                if last is not None and k != last:
+                    index.close(last)
+                last = k
+                index.add(k, v, keep, size)
         if index is not None:
             yield flush()
 
     entries = rows.mapInArrow(fold, f"owner int, key long, value binary, keep {kind}, size long")
     # key ranges that overfill an owner are its own buckets only; the range count follows the cluster's setting
-    dealt = entries.repartition("owner").sortWithinPartitions("owner")
+    dealt = entries.repartition("owner").sortWithinPartitions("owner", "key")
     return saved(dealt.mapInArrow(own, f"owner int, depth int, prefix long, key long, chain int, sha256 string, keep {kind}, size long"), "index")
 
 
@@ -135,7 +146,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signed(xxhash.xxh64_intdigest(v)) for v in values], pa.int64()), pa.array([hashlib.sha256(v).hexdigest() for v in values])], names=["id", "key", "sha256"])
 
     looked = rows.mapInArrow(keyed, f"id {kind}, key long, sha256 string")
-    out = looked.join(index.select("key", "sha256", "keep", "size"), ["key", "sha256"])
+    out = salted_join(looked, index.select("key", "sha256", "keep", "size"), ["key", "sha256"], "size", "id")
     return out.select("id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
