@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, saved
+from .common import LOWER, salted_join, saved
 from .components import connected_components
 
 WIDTHS = (11, 11, 11, 11, 10, 10)
 SHIFTS = tuple(sum(WIDTHS[:i]) for i in range(6))
 PAIRS = tuple(combinations(range(6), 2))
+#: Rows of a bucket that are compared in one group.
+FEW = 256
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
@@ -114,11 +116,13 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 def dealt(index: DataFrame, block: int) -> DataFrame:
     """``index`` (key, fp, ...) with (i, j) after the key, grouped and sorted by the three.
 
-    A bucket beyond ``block`` is dealt into blocks by fp, and every pair of blocks is a group of
-    its own, so a group has about twice ``block`` rows at most and no pair is lost.
+    A bucket beyond ``FEW`` or ``block`` rows is dealt into blocks by fp, and every pair of blocks is a group of its own, so no
+    pair is lost. The number of blocks grows with the root of the bucket's rows (and keeps blocks below ``block`` rows), so
+    that one large bucket makes many groups, none of which has a large share of it.
     """
     rest = [c for c in index.columns if c != "key"]
-    hot = index.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    blocks = F.greatest(F.ceil(F.sqrt(F.col("count") / (FEW // 4))), F.ceil(F.col("count") / block))
+    hot = index.groupBy("key").count().where(F.col("count") > min(FEW, block)).select("key", blocks.cast("int").alias("nb"))
     index = index.join(hot, "key", "left").withColumn("g", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")))
     other = F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     index = index.withColumn("o", F.explode(other)).select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), *rest)
@@ -168,11 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id never becomes a component's name while another id is there.
     """
     fps = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    unique = saved(fps.groupBy("fp").agg(F.min("id").alias("first")), "unique")
+    unique = saved(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("many")), "unique")
     comp = connected_components(links(unique.select("fp"), max_bits))
     named = unique.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    return fps.join(named.join(least, "root").select("fp", "component"), "fp")
+    return salted_join(fps, named.join(least, "root").select("fp", "component", "many"), ["fp"], "many", "id").drop("many")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **about) -> DataFrame:

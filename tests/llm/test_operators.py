@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat, decontaminate, exact, langid, mixing, neardup, quality, simhash, substring, tokens, toxicity
+from loomtext.llm import chat, common, decontaminate, exact, langid, mixing, neardup, quality, simhash, substring, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, owner int"
 
@@ -258,6 +258,29 @@ def test_decontamination(spark, docs):
         decontaminate.contamination(docs, bench, max_bytes=10)
 
 
+def test_decontamination_in_parts(spark, docs):
+    table = rows()
+    bench = spark.createDataFrame([(i, table[i][1]) for i in range(12)] + [(12, None), (13, "one odd item")], "item_id long, text string")
+    parts = decontaminate.item_parts(bench, "item_id", "text", 1500)
+    assert len(parts) > 2 and sorted(r.item for p in parts for r in p.collect()) == sorted(str(i) for i in range(14))
+    whole, split = (sorted(decontaminate.contamination(docs, bench, **about).collect(), key=str) for about in ({}, {"max_bytes": 1500}))
+    assert whole == split and sum(r.n_hit for r in whole) > 100
+    assert decontaminate.decontaminated(docs, bench, max_bytes=1500).count() == sum(not r.contaminated for r in whole)
+    assert decontaminate.united([(5, 9), (0, 2), (2, 3), (6, 7)]) == [(0, 3), (5, 9)]
+
+
+def test_hot_keys_and_hubs(spark):
+    data = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id long, k string")
+    table = data.groupBy("k").agg(F.count("*").alias("many"), F.min("id").alias("least"))
+    for about in ({}, {"hot": 10, "most": 50}):
+        assert sorted((r.id, r.least) for r in common.salted_join(data, table, ["k"], "many", "id", **about).collect()) == [(i, 1 if i % 3 else i) for i in range(300)]
+    edges = [(0, i) for i in range(1, 200)] + [(500 + i, 501 + i) for i in range(20)] + [(199, 300), (7, 7), (1, 0)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = {i: 0 for i in [*range(200), 300]} | {500 + i: 500 for i in range(21)}
+    for hub in (100_000, 5):
+        assert {r.node: r.root for r in simhash.connected_components(df, hub=hub).collect()} == want
+
+
 def test_toxicity_and_quality(spark):
     rng = random.Random(4)
     base = [f"w{i}" for i in range(200)]
