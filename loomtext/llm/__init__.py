@@ -4,13 +4,6 @@ from __future__ import annotations
 
 import importlib
 
-from pyspark import cloudpickle
-
-import loomtext
-
-# tasks carry the library's functions by value: executors need no copy of the repository
-cloudpickle.register_pickle_by_value(loomtext)
-
 MODULES = ("simhash", "langid", "chat", "substring", "mixing", "decontaminate", "toxicity", "exact", "tokens", "quality")
 
 
