@@ -25,7 +25,8 @@ ANSI = "|".join([
 ])
 TRAILING = r"[\t ]++(?=[\n\r\x{2028}\x{2029}]|\z)"
 BLANKS = rf"(?:[{BLANK}]*+\r?\n){{3,}}+"
-GAPS = rf"(?<={N}) {{3,}}+(?={N})"
+SOME_BLANK = rf"\n[{BLANK}]*+\r?\n"
+GAPS = rf" (?<={N} ) {{2,}}+(?={N})"  # begins with a plain character, which the search finds fast
 PASS = rf"^(?:{S}*+[✓√✔]{S}+|{N}+::{N}+{S}+PASSED(?:{S}|\z)|{S}*---{S}+PASS:{S}+{N}+|test{S}+{N}+{S}+\.\.\.{S}+ok\z)"
 FAILURE = rf"(?:\A|(?<=[\n\r\x{{2028}}\x{{2029}}]))(?:{S}*[×✗✘✕]{S}+|{S}*FAIL(?:ED)?{END}|{N}+::{N}+{S}+FAILED(?:{S}|\z)|{S}*---{S}+FAIL:{S}+{N}+|test{S}+{N}+{S}+\.\.\.{S}+FAILED(?=[\n\r\x{{2028}}\x{{2029}}]|\z)|test result:{S}+FAILED)"
 GO_RUN, GO_PASS = rf"^{S}*=== RUN{S}+({N}+)", rf"^{S}*--- PASS:{S}+({N}+)(?:{S}+\(|\z)"
@@ -45,7 +46,8 @@ def normalize_whitespace(df: DataFrame, text: str, detection: str, count: str) -
     ok, t = is_terminal(detection), F.col(text)
     df = df.withColumn("__a", F.when(ok, F.regexp_replace(t, TRAILING, "")).otherwise(t))
     df = df.withColumn("__na", F.when(ok, F.regexp_count(t, F.lit(TRAILING))).otherwise(0))
-    df = df.withColumn("__nb", F.when(ok, F.regexp_count("__a", F.lit(BLANKS))).otherwise(0)).withColumn("__b", F.when(ok, F.regexp_replace("__a", BLANKS, "\n\n")).otherwise(F.col("__a")))
+    some = ok & F.col("__a").rlike(SOME_BLANK)
+    df = df.withColumn("__nb", F.when(some, F.regexp_count("__a", F.lit(BLANKS))).otherwise(0)).withColumn("__b", F.when(some, F.regexp_replace("__a", BLANKS, "\n\n")).otherwise(F.col("__a")))
     bars, parts = F.col("__b").contains("|"), F.split("__b", "\n", -1)
     cut = F.when(~bars, F.regexp_replace("__b", GAPS, " ")).otherwise(F.array_join(F.transform(parts, lambda x: F.when(x.contains("|"), x).otherwise(F.regexp_replace(x, GAPS, " "))), "\n"))
     gaps = F.when(~bars, F.regexp_count("__b", F.lit(GAPS))).otherwise(F.aggregate(parts, F.lit(0), lambda n, x: n + F.when(x.contains("|"), 0).otherwise(F.regexp_count(x, F.lit(GAPS)))))

@@ -3,35 +3,61 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import D, END, N, S, START, count_lines, lines_of, size16, trim_white
+from ..functions.text import WHITE, D, END, N, S, START, size16, trim_white
 
-#: fixed values: line shapes that the content rules count
+#: white space within a line of a text whose line ends are line feeds
+_S = f"[{WHITE}]".replace(r"\n", "")
+_EOL = r"(?=\n|\z)"
+#: fixed values: line shapes that the content rules count; each begins where a line begins and ends in it
 PATTERNS = {
-    "tests": rf"^(?:{S}*+[✓√✔×✗✘✕]{S}|(?:PASS|FAIL){END}|{N}+::{N}+{S}+(?:PASSED|FAILED)(?:{S}|\z)|{S}*---{S}+(?:PASS|FAIL):{S}+{N}|test{S}+{N}+{S}+\.\.\.{S}+(?:ok|FAILED)\z)",
-    "summaries": rf"^{S}*(?:Test Files|Tests(?::|{S})|Snapshots{S}|Test Suites|=+{S}+\d+{S}+(?:passed|failed)|test result:|ok{S}+{N})",
-    "frames": rf"^{S}*at{S}{D}|^{S}+File{S}\"{D}+\",{S}line{S}\d+,{S}in{S}",
-    "headers": rf"{START}(?:Error|Exception|Traceback){END}",
-    "code": rf"^{S}*(?:(?:import|export|const|let|var|function|class|interface|type|return|case){S}|(?:if|for|while|switch){S}*\(|=>)",
-    "ansi": r"\x1b\[",
-    "terminal": rf"^(?:\[\d\d:\d\d:\d\d(?:\.\d+)?\]|#\d+{S}|npm{S}+(?:(?:WARN|warn|error|notice){END}|ERR!(?=[A-Za-z0-9_]))|Level{S}+\d+{S}+progress:|(?:added|removed|changed){S}+\d+{S}+packages?{END}|up to date|found{S}+\d+{S}+vulnerabilit)",
+    "tests": rf"(?:{_S}*+[✓√✔×✗✘✕]{_S}|(?:PASS|FAIL){END}|{N}+::{N}+{_S}+(?:PASSED|FAILED)(?:{_S}|{_EOL})|{_S}*---{_S}+(?:PASS|FAIL):{_S}+{N}|test{_S}+{N}+{_S}+\.\.\.{_S}+(?:ok|FAILED){_EOL})",
+    "summaries": rf"{_S}*+(?:Test Files|Tests(?::|{_S})|Snapshots{_S}|Test Suites|=+{_S}+\d+{_S}+(?:passed|failed)|test result:|ok{_S}+{N})",
+    "frames": rf"(?:{_S}*+at{_S}{D}|{_S}++File{_S}\"{D}+\",{_S}line{_S}\d+,{_S}in{_S})",
+    "headers": rf"(?:[^\n]*?{START}(?:Error|Exception|Traceback){END})",
+    "code": rf"{_S}*+(?:(?:import|export|const|let|var|function|class|interface|type|return|case){_S}|(?:if|for|while|switch){_S}*+\(|=>)",
+    "terminal": rf"(?:\[\d\d:\d\d:\d\d(?:\.\d+)?\]|#\d+{_S}|npm{_S}+(?:(?:WARN|warn|error|notice){END}|ERR!(?=[A-Za-z0-9_]))|Level{_S}+\d+{_S}+progress:|(?:added|removed|changed){_S}+\d+{_S}+packages?{END}|up to date|found{_S}+\d+{_S}+vulnerabilit)",
+}
+#: strings of which a text with such a line has one
+NEEDED = {
+    "tests": (*"✓√✔×✗✘✕", "PASS", "FAIL", "..."),
+    "summaries": ("Test", "Snapshots", "passed", "failed", "test result:", "ok"),
+    "frames": ("at", "File"),
+    "headers": ("Error", "Exception", "Traceback"),
+    "code": ("import", "export", "const", "let", "var", "function", "class", "interface", "type", "return", "case", "if", "for", "while", "switch", "=>"),
+    "terminal": ("[", "#", "npm", "progress:", "package", "up to date", "vulnerabilit"),
 }
 TERMINAL = "generic-terminal-output"
 
 
+def describe(kind: Column) -> Column:
+    """The name under which a content type is shown: the type itself."""
+    return kind
+
+
 def detect(df: DataFrame, text: str = "text", out: str = "detection") -> DataFrame:
-    """Adds ``out``: struct<type, confidence>. One narrow projection; lines are split once."""
-    df = df.withColumn("__l", lines_of(F.col(text)))
-    lines = F.col("__l")
-    df = df.withColumns({f"__{k}": count_lines(lines, p) for k, p in PATTERNS.items()} | {
-        "__prose": F.size(F.filter(lines, lambda x: trim_white(x).rlike(rf"[.!?][\"')]?{S}*\z"))), "__n": F.size(lines), "__size": size16(F.col(text)), "__blank": trim_white(F.col(text)) == "",
+    """Adds ``out``: struct<type, confidence>. One narrow projection; each shape is one search over the whole text, so no list of lines is made."""
+    t = F.col(text)
+    lines = F.concat(F.lit("\n"), F.when(F.contains(t, F.lit("\r\n")), F.replace(t, F.lit("\r\n"), F.lit("\n"))).otherwise(t))
+    df = df.withColumn("__t", lines)
+
+    def count(name: str) -> Column:
+        # a line begins at its line feed: a first character that the search finds fast
+        found = F.regexp_count("__t", F.lit(r"\n" + PATTERNS[name]))
+        needed = reduce(Column.__or__, (F.contains(t, F.lit(x)) for x in NEEDED[name]))
+        return F.when(needed, found).when(t.isNotNull(), 0)
+
+    df = df.withColumns({f"__{k}": count(k) for k in PATTERNS} | {
+        "__ansi": F.contains(t, F.lit("\x1b[")).cast("int"), "__prose": F.regexp_count("__t", F.lit(rf"[.!?][\"')]?{_S}*+{_EOL}")), "__n": F.length("__t") - F.length(F.replace("__t", F.lit("\n"), F.lit(""))),
+        "__size": size16(t), "__blank": ~t.rlike(N),
     })
-    c = {k: F.col(f"__{k}") for k in [*PATTERNS, "prose", "n", "size", "blank"]}
+    c = {k: F.col(f"__{k}") for k in [*PATTERNS, "ansi", "prose", "n", "size", "blank"]}
 
     def label(kind: str, confidence) -> Column:
         return F.struct(F.lit(kind).alias("type"), (F.lit(confidence) if isinstance(confidence, str) else confidence).alias("confidence"))
@@ -46,7 +72,7 @@ def detect(df: DataFrame, text: str = "text", out: str = "detection") -> DataFra
         .when((c["prose"] / c["n"] >= 0.6) & (c["prose"] >= 2) & (c["size"] >= 120), label("unknown", "medium"))
         .otherwise(label(TERMINAL, "medium"))
     )
-    return df.withColumn(out, rules).drop("__l", *(f"__{k}" for k in c))
+    return df.withColumn(out, rules).drop("__t", *(f"__{k}" for k in c))
 
 
 def strict_json(text: str) -> bool:

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import estimate_tokens, percentage, size16, trim_white
+from ..limits import MAX_CHARACTERS, InputLimitError, checked_limit
 from .cleaners import CLEANERS, ORDER
 from .detect import command_profile, detect, structured_kind
 
 PRESETS = {"safe": ORDER[:3], "balanced": ORDER[:5], "aggressive": ORDER}
-MAX_CHARACTERS = 16 * 1024 * 1024
-
-
-class InputLimitError(ValueError):
-    code = "input-limit"
+DECISIONS = "array<struct<cleaner:string,enabled:boolean,changes:int,reason:string>>"
 
 
 def resolve(preset: str = "safe", overrides: dict[str, bool] | None = None) -> dict[str, bool]:
@@ -27,31 +26,48 @@ def resolve(preset: str = "safe", overrides: dict[str, bool] | None = None) -> d
     return {c: (overrides or {}).get(c, c in on) for c in ORDER}
 
 
-def optimize(df: DataFrame, text: str = "text", preset: str = "safe", overrides: dict | None = None, out: str = "optimized_text", tokens: bool = False, max_characters: int = MAX_CHARACTERS, beyond_safe: str | None = None) -> DataFrame:
+def sizes(text: str, out: str, tokens: bool | Callable[[Column], Column] = False) -> Column:
+    """The stats struct: characters and their reduction; with ``tokens``, also those of the estimate (``True``) or of a counter, which is exact."""
+    a, b = size16(F.col(text)), size16(F.col(out))
+    stats = [a.alias("original_characters"), b.alias("optimized_characters"), (a - b).alias("characters_removed"), percentage(a - b, a).alias("reduction_percentage")]
+    if tokens:
+        count = estimate_tokens if tokens is True else tokens
+        x, y = count(F.col(text)), count(F.col(out))
+        stats += [x.alias("original_tokens"), y.alias("optimized_tokens"), (x - y).alias("tokens_removed"), percentage(x - y, x).alias("token_reduction_percentage"), F.lit(tokens is not True).alias("exact")]
+    return F.struct(*stats)
+
+
+def optimize(df: DataFrame, text: str = "text", preset: str = "safe", overrides: dict | None = None, out: str = "optimized_text", tokens: bool | Callable[[Column], Column] = False, max_characters: int = MAX_CHARACTERS) -> DataFrame:
     """Adds ``out``, ``detection``, ``decisions`` (six, in order), ``transformations`` (changed cleaners only) and ``stats``.
 
     The raw text is classified once; cleaners that are off are not in the plan at all. A text beyond ``max_characters`` fails
-    the query; a null text stays null. ``beyond_safe`` names a boolean column: where it is false, only the safe cleaners run.
+    the query; a null text stays null.
     """
     on = resolve(preset, overrides)
-    guard = F.when(size16(F.col(text)) > max_characters, F.raise_error(F.lit(f"{InputLimitError.code}: more than {max_characters} characters")).cast("string")).otherwise(F.col(text))
+    checked_limit(max_characters, "max_characters")
+    guard = F.when(size16(F.col(text)) > max_characters, F.raise_error(F.lit(str(InputLimitError(None, max_characters)))).cast("string")).otherwise(F.col(text))
     df = detect(df.withColumn(out, guard), out, "detection")
     for c in ORDER:
         if not on[c]:
             df = df.withColumn(f"__n_{c}", F.lit(0))
-        elif beyond_safe and c not in PRESETS["safe"]:
-            df = CLEANERS[c](df.withColumn("__t", F.when(F.col(beyond_safe), F.col(out))), "__t", "detection", f"__n_{c}")
-            df = df.withColumn(out, F.coalesce("__t", out)).withColumn(f"__n_{c}", F.coalesce(f"__n_{c}", F.lit(0))).drop("__t")
         else:
             df = CLEANERS[c](df, out, "detection", f"__n_{c}")
-    decisions = [F.struct(F.lit(c).alias("cleaner"), F.lit(on[c]).alias("enabled"), F.col(f"__n_{c}").alias("changes"), (F.lit("disabled-by-preset") if not on[c] else F.when(F.col(f"__n_{c}") > 0, "applied").otherwise("not-applicable")).alias("reason")) for c in ORDER]
-    changed = F.map_filter(F.create_map(*(x for c in ORDER for x in (F.lit(c), F.col(f"__n_{c}")))), lambda _, n: n > 0)
-    a, b = size16(F.col(text)), size16(F.col(out))
-    stats = [a.alias("original_characters"), b.alias("optimized_characters"), (a - b).alias("characters_removed"), percentage(a - b, a).alias("reduction_percentage")]
-    if tokens:
-        x, y = estimate_tokens(F.col(text)), estimate_tokens(F.col(out))
-        stats += [x.alias("original_tokens"), y.alias("optimized_tokens"), (x - y).alias("tokens_removed"), percentage(x - y, x).alias("token_reduction_percentage")]
-    return df.withColumn("decisions", F.array(*decisions)).withColumn("transformations", changed).withColumn("stats", F.struct(*stats)).drop(*(f"__n_{c}" for c in ORDER))
+    df = df.withColumns({f"__n_{c}": F.coalesce(f"__n_{c}", F.lit(0)) for c in ORDER})
+    reason = {c: F.when(F.col(f"__n_{c}") > 0, "applied").otherwise("not-applicable") if on[c] else F.lit("disabled-by-preset") for c in ORDER}
+    decisions = [F.struct(F.lit(c).alias("cleaner"), F.lit(on[c]).alias("enabled"), F.col(f"__n_{c}").alias("changes"), reason[c].alias("reason")) for c in ORDER]
+    df = df.withColumn("decisions", F.array(*decisions)).withColumn("transformations", changed({c: F.col(f"__n_{c}") for c in ORDER}))
+    return df.withColumn("stats", sizes(text, out, tokens)).drop(*(f"__n_{c}" for c in ORDER))
+
+
+def changed(counts: dict[str, Column]) -> Column:
+    """Map of the cleaners with changes to their number."""
+    return F.map_filter(F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), n))), lambda _, n: n > 0)
+
+
+def observed(df: DataFrame, observation: Observation | str) -> DataFrame:
+    """``df`` of ``optimize``, whose rows, characters and changes per cleaner are reported to an observer as they pass: sums only, no texts."""
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum("stats.original_characters").alias("original_characters"), F.sum("stats.optimized_characters").alias("optimized_characters")]
+    return df.observe(observation, *sums, *(F.sum(F.col("decisions")[i]["changes"]).alias(c) for i, c in enumerate(ORDER)))
 
 
 def compact_json(text: Column, kind: Column) -> Column:
@@ -69,21 +85,28 @@ def optimize_structured(df: DataFrame, text: str = "text", out: str = "optimized
     return df.withColumn("changed", F.col(out) != F.col(text)).withColumn("lexically_lossless", F.col("kind") != "text")
 
 
-def optimize_context(df: DataFrame, text: str = "text", command: str | None = None, preset: str | None = None, structured: bool = True, out: str = "optimized_text") -> DataFrame:
+def optimize_context(df: DataFrame, text: str = "text", command: str | None = None, preset: str | None = None, structured: bool = True, out: str = "optimized_text", **about) -> DataFrame:
     """Routes each row: JSON is compacted, a command picks the preset unless one is given, the rest is generic.
 
-    Adds ``out``, ``strategy`` and ``kind``. Rows are filtered by route, and each route's plan has its own cleaners only.
+    Adds ``out``, ``strategy``, ``kind``, ``lexically_lossless``, ``command_profile`` (null without a command) and all that ``optimize`` adds; a JSON row has one
+    decision, ``structured-json`` or ``structured-jsonl``. Rows are split by route, so that each plan has its own cleaners only; the source
+    is read once a route, three times at most.
     """
-    df = optimize_structured(df, text, "__json") if structured else df.withColumn("kind", F.lit("text")).withColumn("__json", F.col(text))
-    by_command = F.coalesce(F.col(command), F.lit("")) != "" if command else F.lit(False)
-    chosen = F.when(by_command, command_profile(F.col(command))["preset"]).otherwise(F.lit("safe")) if command and not preset else F.lit(preset or "safe")
-    strategy = F.when(F.col("kind") != "text", "structured").when(by_command, "command").otherwise("generic")
-    df = df.withColumn("strategy", strategy).withColumn("__preset", F.when(F.col("kind") != "text", "json").otherwise(chosen)).drop("changed", "lexically_lossless")
-    made = df.where("__preset = 'json'").withColumn(out, F.col("__json"))
+    df = optimize_structured(df, text, "__json") if structured else df.withColumns({"kind": F.lit("text"), "__json": F.col(text), "changed": F.lit(False), "lexically_lossless": F.lit(False)})
+    is_json = F.col("kind") != "text"
+    named = F.coalesce(F.col(command), F.lit("")) != "" if command else F.lit(False)
+    profile = command_profile(F.col(command)) if command else F.lit(None).cast("struct<family:string,executable:string,preset:string,confidence:string>")
+    df = df.withColumn("strategy", F.when(is_json, "structured").when(named, "command").otherwise("generic")).withColumn("command_profile", F.when(named, profile))
+    chosen = F.when(named, profile["preset"]).otherwise("safe") if command and not preset else F.lit(preset or "safe")
+    df = df.withColumn("__preset", F.when(is_json, "json").otherwise(chosen))
+    count = F.col("changed").cast("int")
+    own = F.array(F.struct(F.concat(F.lit("structured-"), "kind").alias("cleaner"), F.lit(True).alias("enabled"), count.alias("changes"), F.when(F.col("changed"), "applied").otherwise("not-applicable").alias("reason")))
+    made = detect(df.where("__preset = 'json'").withColumn(out, F.col("__json")), text, "detection").withColumn("decisions", own)
+    made = made.withColumn("transformations", F.map_filter(F.create_map(F.concat(F.lit("structured-"), "kind"), count), lambda _, n: n > 0))
+    made = made.withColumn("stats", sizes(text, out, about.get("tokens", False)))
     for p in [preset] if preset else ["safe", "balanced"] if command else ["safe"]:
-        rows = optimize(df.where(F.col("__preset") == p), text, p, out=out)
-        made = made.unionByName(rows.drop("detection", "decisions", "transformations", "stats"))
-    return made.drop("__json", "__preset")
+        made = made.unionByName(optimize(df.where(F.col("__preset") == p), text, p, out=out, **about))
+    return made.drop("__json", "__preset", "changed")
 
 
 #: fixed values: fence labels whose content counts as terminal output
@@ -91,44 +114,67 @@ TERMINAL_LABELS = ("console", "console-output", "shell-session", "terminal", "te
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})[ \t]*([A-Za-z0-9_-]*)[^\r\n]*(?:\r?\n|\Z)", re.M)
 
 
-def fenced_parts(text: str) -> list[dict]:
-    """The text cut at terminal fences: parts {text, label}, label null outside. One pass over the fence lines."""
+def fenced_parts(text: str) -> tuple[int, list[dict]]:
+    """(closed fences, the text cut at terminal fences): parts {text, label}, label null outside.
+
+    One pass over the fence lines; the closing line is looked up by character and length.
+    """
     marks = list(_FENCE.finditer(text))
-    closers: dict[str, list[tuple[int, int]]] = {}
+    closers: dict[str, dict[int, list[int]]] = {"`": {}, "~": {}}
     for k, m in enumerate(marks):
         if not m[2]:
-            closers.setdefault(m[1][0], []).append((k, len(m[1])))
-    parts, at, k = [], 0, 0
+            closers[m[1][0]].setdefault(len(m[1]), []).append(k)
+    parts, at, k, found = [], 0, 0, 0
     while k < len(marks):
         m = marks[k]
-        close = next((j for j, n in closers.get(m[1][0], ()) if j > k and n >= len(m[1])), None)
-        if close is None:
+        after = [places[i] for n, places in closers[m[1][0]].items() if n >= len(m[1]) and (i := bisect_right(places, k)) < len(places)]
+        if not after:
             k += 1
             continue
-        label = m[2].lower()
+        close, label = min(after), m[2].lower()
+        found += 1
         if label in TERMINAL_LABELS:
             parts += [{"text": text[at : m.end()], "label": None}, {"text": text[m.end() : marks[close].start()], "label": label}]
             at = marks[close].start()
         k = close + 1
-    return [*parts, {"text": text[at:], "label": None}]
+    return found, [*parts, {"text": text[at:], "label": None}]
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])))
-def _fences(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: fenced_parts(t) if t is not None else None)
+_PART = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
 
 
-def optimize_segments(df: DataFrame, id_col: str, text: str = "text", preset: str = "safe", out: str = "optimized_text") -> DataFrame:
-    """(id, out, segments): only terminal-labelled Markdown fences are reduced, all else stays byte for byte.
+@F.pandas_udf(T.StructType([T.StructField("found", T.IntegerType()), T.StructField("parts", T.ArrayType(_PART))]))
+def _fences(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([fenced_parts(t) if t is not None else (0, None) for t in texts], columns=["found", "parts"])
 
-    Parts are rows of their own while they are reduced, and meet again by document, in order.
+
+def optimize_segments(df: DataFrame, text: str = "text", preset: str = "safe", out: str = "optimized_text", overrides: dict | None = None) -> DataFrame:
+    """Adds ``out``, ``segments``, ``segments_found``, ``segments_optimized``, ``detection``, ``decisions``, ``transformations`` and ``stats``.
+
+    Only terminal-labelled Markdown fences are reduced, all else stays byte for byte. Parts are rows of their own while they are
+    reduced and meet again by a number of their row, so rows may repeat; a null text stays null. As in an all-off
+    run, decisions are not enabled; those with changes are applied.
     """
-    parts = df.select(F.col(id_col), F.posexplode(_fences(F.coalesce(F.col(text), F.lit("")))).alias("pos", "part")).select(id_col, "pos", "part.*")
-    parts = optimize(parts.withColumn("__in", F.when(F.col("label").isNotNull(), F.col("text"))), "__in", preset, out="__out")
-    part = F.struct("pos", F.coalesce("__out", "text").alias("made"), "label", F.col("text").alias("was"))
-    found = parts.groupBy(id_col).agg(F.sort_array(F.collect_list(part)).alias("p"))
-    segments = F.transform(F.filter("p", lambda x: x["label"].isNotNull()), lambda x, i: F.struct(i.alias("index"), x["label"].alias("language"), (x["made"] != x["was"]).alias("changed"), size16(x["was"]).alias("original_characters"), size16(x["made"]).alias("optimized_characters")))
-    return found.select(id_col, F.array_join("p.made", "").alias(out), segments.alias("segments"))
+    doc = detect(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__f", _fences(F.col(text))), text, "__d")
+    doc = doc.select("__row", F.col("__f.found").alias("found"), F.col("__d").alias("detected"), F.struct(*df.columns).alias("doc"), F.posexplode_outer("__f.parts").alias("pos", "part"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    parts = doc.select("__row", "found", "detected", "pos", F.when(first, F.col("doc")).alias("doc"), F.col("part.text").alias("text"), F.col("part.label").alias("label"))
+    parts = optimize(parts.withColumn("__in", F.when(F.col("label").isNotNull(), F.col("text"))), "__in", preset, overrides, out="__out")
+    part = F.struct("pos", F.coalesce("__out", "text").alias("made"), "label", F.col("text").alias("was"), F.col("decisions.changes").alias("n"))
+    rows = parts.groupBy("__row").agg(F.first("doc", True).alias("doc"), F.first("found").alias("segments_found"), F.first("detected").alias("detection"), F.sort_array(F.collect_list(part)).alias("p"))
+    found = F.transform(
+        F.filter("p", lambda x: x["label"].isNotNull()),
+        lambda x, i: F.struct(i.alias("index"), x["label"].alias("language"), (x["made"] != x["was"]).alias("changed"), size16(x["was"]).alias("original_characters"), size16(x["made"]).alias("optimized_characters")),
+    )
+    made = F.when(F.get("p", F.lit(0))["made"].isNotNull(), F.array_join("p.made", ""))
+    counts = {c: F.aggregate(F.transform("p", lambda x: x["n"][ORDER.index(c)]), F.lit(0), lambda n, x: n + x) for c in ORDER}
+    rows = rows.select("doc.*", made.alias(out), found.alias("segments"), "segments_found", "detection", *(n.alias(f"__n_{c}") for c, n in counts.items()))
+    n = {c: F.col(f"__n_{c}") for c in ORDER}
+    decisions = F.array(*(F.struct(F.lit(c).alias("cleaner"), F.lit(False).alias("enabled"), n[c].alias("changes"), F.when(n[c] > 0, "applied").otherwise("disabled-by-preset").alias("reason")) for c in ORDER))
+    a, b = size16(F.col(text)), size16(F.col(out))
+    stats = F.struct(a.alias("original_characters"), b.alias("optimized_characters"), (a - b).alias("characters_removed"), F.when(a == 0, 0.0).otherwise((a - b) / a * 100).alias("reduction_percentage"))
+    rows = rows.withColumns({"segments_optimized": F.size(F.filter("segments", lambda x: x["changed"])), "decisions": decisions, "transformations": changed(n), "stats": stats})
+    return rows.drop(*(f"__n_{c}" for c in ORDER))
 
 
 def optimize_messages(df: DataFrame, text: str = "text", role: str = "role", roles=("user", "tool"), preset: str = "safe") -> DataFrame:
@@ -137,11 +183,20 @@ def optimize_messages(df: DataFrame, text: str = "text", role: str = "role", rol
     return df.withColumn("optimized_text", F.coalesce("optimized_text", text)).drop("__in")
 
 
-def message_totals(df: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Totals per conversation over the messages that were reduced; percentage with two decimals."""
+def message_totals(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+    """Totals per conversation over the messages that were reduced, from ``optimize_messages``; percentage with two decimals.
+
+    ``transformations`` merges the messages' changes; ``message_stats`` has (index, role, stats) of each reduced message, by its place among
+    all of the conversation's. Messages with one turn are ordered by role and sizes.
+    """
     a, b = F.sum("stats.original_characters"), F.sum("stats.optimized_characters")
-    out = df.groupBy(conv).agg(F.coalesce(a, F.lit(0)).alias("original_characters"), F.coalesce(b, F.lit(0)).alias("optimized_characters"))
-    return out.withColumn("reduction_percentage", percentage(F.col("original_characters") - F.col("optimized_characters"), F.col("original_characters"), 2))
+    own = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), "stats")
+    sums = [F.coalesce(F.sum(F.col("decisions")[i]["changes"]), F.lit(0)).alias(f"__n_{c}") for i, c in enumerate(ORDER)]
+    out = df.groupBy(conv).agg(F.coalesce(a, F.lit(0)).alias("original_characters"), F.coalesce(b, F.lit(0)).alias("optimized_characters"), *sums, F.sort_array(F.collect_list(own)).alias("__m"))
+    each = F.filter(F.transform("__m", lambda m, i: F.struct(i.alias("index"), m["role"].alias("role"), m["stats"].alias("stats"))), lambda m: m["stats"]["original_characters"].isNotNull())
+    removed = F.col("original_characters") - F.col("optimized_characters")
+    out = out.withColumns({"characters_removed": removed, "reduction_percentage": percentage(removed, F.col("original_characters"), 2), "transformations": changed({c: F.col(f"__n_{c}") for c in ORDER}), "message_stats": each})
+    return out.drop("__m", *(f"__n_{c}" for c in ORDER))
 
 
 def audited(df: DataFrame, text: str = "text", preset: str = "safe", mode: str = "apply") -> DataFrame:

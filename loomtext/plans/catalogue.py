@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens, size16
+from ..functions.text import estimate_tokens, size16, spread
 from ..operators import cleaners, context, detect, stores
 from ..operators import optimize as opt
 from ..sources.files import envelope, workload_report
@@ -32,6 +32,12 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_user(df: DataFrame) -> DataFrame:
+    """``df`` dealt by user over all cores: what is made of a user's rows costs more than the rows' size tells."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "user_id")
+
+
 LINE = """concat('[00:00:00] ', CASE WHEN event_id % 5 = 0 THEN concat(chr(27), '[31m', event_type, chr(27), '[0m') ELSE event_type END,
   CASE WHEN event_id % 17 = 0 THEN '    ' ELSE ' ' END, 'stage queued', CASE WHEN event_id % 7 = 0 THEN '   ' ELSE '' END, CASE WHEN event_id % 13 = 0 THEN concat(chr(10), chr(10), chr(10)) ELSE '' END)"""
 T_SQL = f"transcripts AS (SELECT user_id, string_agg({LINE}, chr(10) ORDER BY event_id) AS text FROM events GROUP BY user_id)"
@@ -40,7 +46,7 @@ T_SQL = f"transcripts AS (SELECT user_id, string_agg({LINE}, chr(10) ORDER BY ev
 def transcripts(spark, sf_dir: str) -> DataFrame:
     """A transcript per user, in event order."""
     rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.expr(LINE.replace("chr(27)", r"'\u001b'").replace("chr(10)", r"'\n'")).alias("line")).alias("l"))
-    return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("l"))["line"], "\n").alias("text"))
+    return by_user(rows).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("l"))["line"], "\n").alias("text"))
 
 
 def shaped(spark, sf_dir: str, kind: str) -> DataFrame:
@@ -51,7 +57,7 @@ def shaped(spark, sf_dir: str, kind: str) -> DataFrame:
         "frames": F.when(F.col("event_id") % 6 == 0, "Error: lost").otherwise(F.concat(F.lit("    at "), "event_type", F.lit(" (app.js:10:5)"))),
         "blocks": F.concat(F.lit("step one of many\nstep two of "), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.lit("many"))),
     }[kind]
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    rows = by_user(e).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
     return rows.select("user_id", F.array_join(F.col("l.line"), "\n").alias("text"))
 
 
@@ -104,7 +110,7 @@ def content_detection(spark, sf_dir):
 
 @query("WITH " + _COUNTS.replace("{t}", "documents").replace("{id}", "doc_id") + " SELECT id AS doc_id, label FROM detected")
 def document_detection(spark, sf_dir):
-    return detect.detect(table(spark, sf_dir, "documents")).select("doc_id", F.concat_ws("/", "detection.type", "detection.confidence").alias("label"))
+    return detect.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.concat_ws("/", "detection.type", "detection.confidence").alias("label"))
 
 
 @query(f"WITH {T_DETECT}, {_STRIP} SELECT id AS user_id, a AS text, n_ansi FROM stripped")
@@ -165,7 +171,7 @@ def optimize_aggressive(spark, sf_dir):
 
 @query(r"""SELECT doc_id, length(text) AS size, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor((length(text) / 4 + len(regexp_extract_all(text, '[^\s\x0b]+'))) / 2 + 0.5)) END::BIGINT AS tokens FROM documents""")
 def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", size16(F.col("text")).alias("size"), estimate_tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", size16(F.col("text")).alias("size"), estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query("SELECT event_id, CASE WHEN json_valid(props) AND regexp_matches(trim(props), '^[{\\[]') THEN 'json' ELSE 'text' END AS kind FROM events")
@@ -204,13 +210,14 @@ def context_router(spark, sf_dir):
 @query()
 def markdown_segments(spark, sf_dir):
     rows = transcripts(spark, sf_dir).select("user_id", F.concat(F.lit("# Log\n\n~~~\nkept   as it is\n~~~\n```console\n"), "text", F.lit("\n```\nEnd.\n")).alias("text"))
-    return opt.optimize_segments(rows, "user_id")
+    return opt.optimize_segments(rows).select("user_id", "optimized_text", "segments")
 
 
 @query("""SELECT conv_id, coalesce(sum(length(text)) FILTER (role IN ('user', 'tool')), 0)::BIGINT AS original_characters, coalesce(sum(length(text)) FILTER (role IN ('user', 'tool')), 0)::BIGINT AS optimized_characters,
   0.0::DOUBLE AS reduction_percentage FROM conversations GROUP BY conv_id""")
 def message_totals(spark, sf_dir):
-    return opt.message_totals(opt.optimize_messages(table(spark, sf_dir, "conversations")))
+    totals = opt.message_totals(opt.optimize_messages(table(spark, sf_dir, "conversations")))
+    return totals.select("conv_id", "original_characters", "optimized_characters", "reduction_percentage")
 
 
 @query(f"""{SAFE} SELECT id AS user_id, o <> text AS changed, sha256(text) AS original_sha256, sha256(o) AS candidate_sha256, sha256(text) AS delivered_sha256, length(o) AS candidate_characters FROM safe""")
