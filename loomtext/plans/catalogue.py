@@ -238,18 +238,18 @@ _TERMS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_./:-]+')
 s AS (SELECT doc_id, source, len(list_intersect({_TERMS.format('text')}, q)) / len(q) * 0.7 + (doc_id % 10) / 10 * 0.2 + 0.0 * 0.1 AS score FROM documents, q)
 SELECT doc_id, source, round(score, 9) AS score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s""")
 def rank_context(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("q"))
-    rows = table(spark, sf_dir, "documents").join(F.broadcast(q)).withColumn("p", (F.col("doc_id") % 10) / 10)
-    return context.ranked(rows, "q", "text", "p", group="source", index="doc_id").select("doc_id", "source", F.round("score", 9).alias("score"), "rank")
+    q = table(spark, sf_dir, "benchmark").where("item_id = 0").select("text").first()
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("p", (F.col("doc_id") % 10) / 10).where(F.lit(q is not None))
+    return context.ranked(rows, context.query_terms(q.text if q else ""), "text", "p", group="source", index="doc_id", keep=["doc_id", "source"]).select("doc_id", "source", F.round("score", 9).alias("score"), "rank")
 
 
 @query(rf"""WITH q AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS q FROM benchmark WHERE item_id % 50 = 0),
 s AS (SELECT query_id, doc_id, source, CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect({_TERMS.format('text')}, q)) / len(q) END * 0.7 + (doc_id % 10) / 10 * 0.2 + 0.0 * 0.1 AS score FROM documents, q)
 SELECT query_id, doc_id, source, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS rank FROM s""")
 def rank_contexts(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    rows = table(spark, sf_dir, "documents").join(F.broadcast(q)).withColumn("p", (F.col("doc_id") % 10) / 10).withColumn("g", F.struct("query_id", "source"))
-    return context.ranked(rows, "q", "text", "p", group="g", index="doc_id").select("query_id", "doc_id", "source", F.round("score", 9).alias("score"), "rank")
+    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), context.terms(F.col("text")).alias("q"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).join(F.broadcast(q)).withColumn("p", (F.col("doc_id") % 10) / 10).withColumn("g", F.struct("query_id", "source"))
+    return context.ranked(rows, F.col("q"), "text", "p", group="g", index="doc_id", keep=["query_id", "doc_id", "source", "g"]).select("query_id", "doc_id", "source", F.round("score", 9).alias("score"), "rank")
 
 
 @query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor((length(text) / 4 + len(regexp_extract_all(text, '\S+'))) / 2 + 0.5)) END::BIGINT AS tokens, (turn % 3)::DOUBLE AS score, role = 'system' AS req FROM conversations),
@@ -288,7 +288,7 @@ def model_route(spark, sf_dir):
     routes = spark.createDataFrame(_ROUTES, "idx int, id string, max_context_tokens long, input_cost double, priority double, capabilities array<string>")
     required = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("text"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("tools"), F.lit("text"))).otherwise(F.array().cast("array<string>"))
     requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.floor("o_totalprice").cast("long").alias("input_tokens"), required.alias("required"))
-    return context.route_models(requests, routes, "cost")
+    return context.route_models(requests, routes, "cost").drop("reason")
 
 
 @query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type IN ('view', 'click')) = 0 THEN 0.0 ELSE floor(count(*) FILTER (event_type = 'view') / count(*) FILTER (event_type IN ('view', 'click')) * 100 * 100 + 0.5) / 100 END AS hit_percentage FROM events GROUP BY user_id""")

@@ -64,3 +64,12 @@ class Completions:
             "usage": {k: usage.get(v) or 0 for k, v in USAGE.items()} if usage else None,
             "raw": raw,
         }
+
+
+#: fixed values: addresses of known services
+SERVICES = {"deepseek": "https://api.deepseek.com"}
+
+
+def service(name: str, api_key: str, transport: Transport, **about) -> Completions:
+    """The endpoint of a known service."""
+    return Completions(SERVICES[name], api_key, transport, **about)
