@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import saved, shared_dir  # noqa: F401
+
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 M64 = (1 << 64) - 1
@@ -25,26 +24,6 @@ def process_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_loomtext_cache", {}).setdefault(name, {})
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and every executor see: below ``spark.checkpoint.dir``.
-
-    Only a session without that setting (local tests) gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/loomtext-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; the contract's fold."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
