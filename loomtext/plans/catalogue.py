@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, size16, spread
-from ..operators import cleaners, context, detect, stores
+from ..operators import cleaners, context, detect, evaluation, stores
 from ..operators import optimize as opt
 from ..sources.files import envelope, workload_report
 from ..streaming.terminal import clean_batch
@@ -351,3 +351,61 @@ def terminal_stream(spark, sf_dir):
 @query()
 def json_envelope(spark, sf_dir):
     return opt.optimize(transcripts(spark, sf_dir)).select("user_id", envelope().alias("json"))
+
+
+@query(f"""WITH {T_DETECT}, c AS (SELECT label = 'generic-terminal-output/high' AS a, id % 2 = 0 AS e FROM detected)
+SELECT count(*) FILTER (a AND e) AS true_positive, count(*) FILTER (NOT a AND NOT e) AS true_negative, count(*) FILTER (a AND NOT e) AS false_positive, count(*) FILTER (NOT a AND e) AS false_negative,
+  count(*) FILTER (a AND e) / count(*) FILTER (e) AS recall, count(*) FILTER (NOT a AND NOT e) / count(*) FILTER (NOT e) AS specificity FROM c""")
+def detection_confusion(spark, sf_dir):
+    rows = detect.detect(transcripts(spark, sf_dir))
+    actual = (F.col("detection.type") == detect.TERMINAL) & (F.col("detection.confidence") == "high")
+    return evaluation.confusion(rows.withColumn("a", actual), F.col("a"), F.col("user_id") % 2 == 0)
+
+
+@query("""WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, o_totalprice AS median FROM r WHERE i = n // 2 + 1""")
+def upper_medians(spark, sf_dir):
+    return evaluation.upper_median(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice")
+
+
+@query("""WITH r AS (SELECT o_orderkey % 3 AS trial, o_custkey AS task, min(o_totalprice) FILTER (o_orderkey % 2 = 0) AS a, min(o_totalprice) FILTER (o_orderkey % 2 = 1) AS b FROM orders GROUP BY 1, 2)
+SELECT trial, task, round(b - a, 6) AS difference FROM r WHERE a IS NOT NULL AND b IS NOT NULL""")
+def paired_differences(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("trial"), F.col("o_custkey").alias("task"), F.when(F.col("o_orderkey") % 2 == 0, "original").otherwise("optimized").alias("variant"), "o_totalprice")
+    return evaluation.paired_differences(runs, "trial", "task", "variant", "o_totalprice").withColumn("difference", F.round("difference", 6))
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}:.-]+', ' ', 'g') AS t FROM documents),
+f AS (SELECT doc_id, contains(t, ' the ') AS a, contains(t, ' der ') OR contains(t, ' les ') AS b, contains(t, 'und') AS c FROM p)
+SELECT doc_id, a::INT + b::INT + c::INT AS found, 3 AS required, (a::INT + b::INT + c::INT) / 3 AS recall, concat_ws(',', CASE WHEN NOT a THEN ' the ' END, CASE WHEN NOT b THEN ' der | les ' END, CASE WHEN NOT c THEN 'und' END) AS missing FROM f""")
+def fact_recall(spark, sf_dir):
+    rows = evaluation.fact_recall(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), [[" the "], [" der ", " les "], ["und"]])
+    return rows.select("doc_id", "found", "required", "recall", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""SELECT vec_id AS id, round(list_sum([x::DOUBLE for x in embedding]) + CASE WHEN vec_id % 10 = 0 THEN 64 ELSE 0 END, 4) AS total FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 10 = 0""")
+def vector_index(spark, sf_dir):
+    e = spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")))
+    again = e.where("id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: x + 1))
+    log = e.withColumns({"seq": F.lit(1), "op": F.lit("upsert")}).unionByName(e.where("id % 7 = 0").withColumns({"seq": F.lit(2), "op": F.lit("delete")}))
+    out = context.vector_index(log.unionByName(again.withColumns({"seq": F.lit(3), "op": F.lit("upsert")})))
+    return out.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+p AS (SELECT query_id, vec_id AS id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(q, q) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS s FROM embeddings, q),
+r AS (SELECT query_id, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id::VARCHAR) AS rank FROM p)
+SELECT query_id, id, similarity, rank FROM r WHERE rank <= 5""")
+def vector_neighbours(spark, sf_dir):
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    out = context.vector_top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, doc_id="vec_id")
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""{SAFE} SELECT id % 10 AS conv_id, sum(length(text))::BIGINT AS original_characters, sum(length(o))::BIGINT AS optimized_characters, sum(length(text) - length(o))::BIGINT AS characters_removed,
+  floor((sum(length(text)) - sum(length(o))) / sum(length(text)) * 10000 + 0.5) / 100 AS reduction_percentage, sum(n_ansi)::BIGINT AS ansi, sum(n_white)::BIGINT AS whitespace, sum(n_dup)::BIGINT AS duplicates, count(*) AS messages FROM safe GROUP BY 1""")
+def message_reduction(spark, sf_dir):
+    rows = transcripts(spark, sf_dir).select((F.col("user_id") % 10).alias("conv_id"), F.col("user_id").alias("turn"), F.lit("tool").alias("role"), "text")
+    t = opt.message_totals(opt.optimize_messages(rows))
+    count = lambda c: F.coalesce(F.element_at("transformations", c), F.lit(0)).cast("long")
+    return t.select("conv_id", "original_characters", "optimized_characters", "characters_removed", "reduction_percentage", count("ansi").alias("ansi"), count("whitespace").alias("whitespace"), count("duplicate-lines").alias("duplicates"), F.size("message_stats").cast("long").alias("messages"))
