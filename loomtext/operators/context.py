@@ -323,7 +323,10 @@ def cache_hit_percentage(hits: Column, misses: Column) -> Column:
 
 
 def quality_cases(df: DataFrame, run: Callable, score: Callable, text: str = "text", preset: str = "safe", **about) -> DataFrame:
-    """``df`` with ``original_score``, ``optimized_score`` and the sizes that ``quality_gate`` takes: ``score(run(text))`` of both texts, in Arrow batches."""
+    """``df`` with ``original_score``, ``optimized_score`` and the sizes that ``quality_gate`` takes: ``score(run(text))`` of both texts, in Arrow batches.
+
+    The scored rows are written, so each text is run once, whatever is asked of them.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
@@ -332,7 +335,7 @@ def quality_cases(df: DataFrame, run: Callable, score: Callable, text: str = "te
     rows = optimize(df, text, preset, out="__made", **about)
     rows = rows.select(*df.columns, scored(text).alias("original_score"), scored("__made").alias("optimized_score"), "stats.original_characters", "stats.optimized_characters", "stats.reduction_percentage")
     odd = reduce(Column.__or__, (F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in ("original_score", "optimized_score")))
-    return rows.withColumn("original_score", F.when(odd, F.raise_error(F.lit("a case returned a score that is not finite")).cast("double")).otherwise(F.col("original_score")))
+    return saved(rows.withColumn("original_score", F.when(odd, F.raise_error(F.lit("a case returned a score that is not finite")).cast("double")).otherwise(F.col("original_score"))), "cases")
 
 
 def _thresholds(minimum_reduction: float, mean_regression: float, case_regression: float | None) -> float:
