@@ -95,6 +95,32 @@ safe AS (SELECT s.*, CASE WHEN label = 'generic-terminal-output/high' AND n_dup
 SAFE = f"WITH {T_DETECT}, {_STRIP}, {_SPACE}, {_DUPES}"
 
 
+_TESTS = r"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 9 = 0 THEN 'suite ' || event_type ELSE '  ✓ handles ' || event_type END AS l, event_id % 9 <> 0 AS p FROM events),
+g AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS k, count(*) FILTER (p) OVER (PARTITION BY user_id) AS tests FROM t),
+r AS (SELECT user_id, k, p, min(i) AS i, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS s, any_value(tests) AS tests, sum(length(l)) AS chars FROM g GROUP BY user_id, k, p)
+SELECT user_id, string_agg(CASE WHEN p AND n >= 3 AND tests >= 3 AND length('  ✓ ' || n || ' test cases passed') < chars THEN '  ✓ ' || n || ' test cases passed' ELSE s END, chr(10) ORDER BY i) AS text,
+  count(*) FILTER (p AND n >= 3 AND tests >= 3 AND length('  ✓ ' || n || ' test cases passed') < chars) AS n_test_output FROM r GROUP BY user_id"""
+_FRAMES = r"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 6 = 0 THEN 'Error: lost' ELSE '    at ' || event_type || ' (app.js:10:5)' END AS l, event_id % 6 <> 0 AS f FROM events),
+m AS (SELECT *, CASE WHEN f AND l IS NOT DISTINCT FROM lag(l) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS new, count(*) FILTER (f) OVER (PARTITION BY user_id) AS frames FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS k FROM m),
+r AS (SELECT user_id, k, any_value(l) AS l, any_value(f) AS f, count(*) AS n, any_value(frames) AS frames, min(i) AS i, string_agg(l, chr(10) ORDER BY i) AS s FROM g GROUP BY user_id, k),
+j AS (SELECT *, f AND frames >= 3 AND n >= 2 AND length(l) * n > length(l) + length(' [repeated ' || n || ' times]') AS c FROM r)
+SELECT user_id, string_agg(CASE WHEN c THEN l || ' [repeated ' || n || ' times]' ELSE s END, chr(10) ORDER BY i) AS text, count(*) FILTER (c) AS n_stack_trace FROM j GROUP BY user_id"""
+# run: how many lines from i on equal the line s further on, so a block of s lines stands there 1 + run // s times
+_BLOCKS = r"""WITH RECURSIVE e AS (SELECT user_id, event_id, unnest(['step one of many', 'step two of ' || CASE WHEN event_id % 4 = 0 THEN event_type ELSE 'many' END]) AS l, unnest([1, 2]) AS part FROM events),
+b AS (SELECT user_id, l, row_number() OVER (PARTITION BY user_id ORDER BY event_id, part) AS i FROM e),
+v AS (SELECT a.user_id, s, a.i, a.l = c.l AS same FROM b a CROSS JOIN range(2, 9) AS z(s) LEFT JOIN b c ON c.user_id = a.user_id AND c.i = a.i + s),
+w AS (SELECT user_id, s, i, coalesce(min(CASE WHEN same THEN NULL ELSE i END) OVER (PARTITION BY user_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), i) - i AS run FROM v),
+x AS (SELECT user_id, i, max_by(s, s) FILTER (run >= 2 * s) AS s, max_by(run, s) FILTER (run >= 2 * s) AS run FROM w GROUP BY user_id, i),
+j AS (SELECT user_id, i, s, CASE WHEN s IS NULL THEN 1 ELSE 1 + run // s END AS n, i + CASE WHEN s IS NULL THEN 1 ELSE (1 + run // s) * s END AS following FROM x),
+f AS (SELECT * FROM j WHERE i = 1 UNION ALL SELECT j.* FROM f JOIN j ON j.user_id = f.user_id AND j.i = f.following),
+pieces AS (SELECT f.user_id, f.i, any_value(f.s) AS s, any_value(f.n) AS n, string_agg(b.l, chr(10) ORDER BY b.i) AS whole, string_agg(b.l, chr(10) ORDER BY b.i) FILTER (b.i < f.i + f.s) || chr(10) || '[block repeated ' || any_value(f.n) || ' times]' AS short
+  FROM f JOIN b ON b.user_id = f.user_id AND b.i >= f.i AND b.i < f.following GROUP BY f.user_id, f.i),
+blocks AS (SELECT user_id, string_agg(CASE WHEN length(short) < length(whole) THEN short ELSE whole END, chr(10) ORDER BY i) AS o, string_agg(whole, chr(10) ORDER BY i) AS text, count(*) FILTER (length(short) < length(whole)) AS n FROM pieces GROUP BY user_id)"""
+_PERCENT = "CASE WHEN {0} = 0 THEN 0.0 ELSE floor(({0} - {1}) / {0} * 1000 + 0.5) / 10 END"
+_SIZES = f"length(text) AS original_characters, length(o) AS optimized_characters, length(text) - length(o) AS characters_removed, {_PERCENT.format('length(text)', 'length(o)')} AS reduction_percentage"
+
+
 def cleaned(df: DataFrame, *names: str) -> DataFrame:
     """Some cleaners in order, with the raw text's detection."""
     df = detect.detect(df)
@@ -135,38 +161,42 @@ def optimize_safe(spark, sf_dir):
     return opt.optimize(transcripts(spark, sf_dir)).select("user_id", "optimized_text", "stats.original_characters", "stats.optimized_characters", "stats.reduction_percentage", d[0].alias("ansi"), d[1].alias("whitespace"), d[2].alias("duplicates"))
 
 
-@query(r"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 9 = 0 THEN 'suite ' || event_type ELSE '  ✓ handles ' || event_type END AS l, event_id % 9 <> 0 AS p FROM events),
-g AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS k, count(*) FILTER (p) OVER (PARTITION BY user_id) AS tests FROM t),
-r AS (SELECT user_id, k, p, min(i) AS i, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS s, any_value(tests) AS tests, sum(length(l)) AS chars FROM g GROUP BY user_id, k, p)
-SELECT user_id, string_agg(CASE WHEN p AND n >= 3 AND tests >= 3 AND length('  ✓ ' || n || ' test cases passed') < chars THEN '  ✓ ' || n || ' test cases passed' ELSE s END, chr(10) ORDER BY i) AS text,
-  count(*) FILTER (p AND n >= 3 AND tests >= 3 AND length('  ✓ ' || n || ' test cases passed') < chars) AS n_test_output FROM r GROUP BY user_id""")
+@query(_TESTS)
 def passing_tests(spark, sf_dir):
     return cleaned(shaped(spark, sf_dir, "tests"), "test-output").select("user_id", "text", "n_test_output")
 
 
-@query(r"""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 6 = 0 THEN 'Error: lost' ELSE '    at ' || event_type || ' (app.js:10:5)' END AS l, event_id % 6 <> 0 AS f FROM events),
-m AS (SELECT *, CASE WHEN f AND l IS NOT DISTINCT FROM lag(l) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS new, count(*) FILTER (f) OVER (PARTITION BY user_id) AS frames FROM t),
-g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS k FROM m),
-r AS (SELECT user_id, k, any_value(l) AS l, any_value(f) AS f, count(*) AS n, any_value(frames) AS frames, min(i) AS i, string_agg(l, chr(10) ORDER BY i) AS s FROM g GROUP BY user_id, k),
-j AS (SELECT *, f AND frames >= 3 AND n >= 2 AND length(l) * n > length(l) + length(' [repeated ' || n || ' times]') AS c FROM r)
-SELECT user_id, string_agg(CASE WHEN c THEN l || ' [repeated ' || n || ' times]' ELSE s END, chr(10) ORDER BY i) AS text, count(*) FILTER (c) AS n_stack_trace FROM j GROUP BY user_id""")
+@query(_FRAMES)
 def stack_frames(spark, sf_dir):
     return cleaned(shaped(spark, sf_dir, "frames"), "stack-trace").select("user_id", "text", "n_stack_trace")
 
 
-@query()
+@query(f"{_BLOCKS} SELECT user_id, o AS text, n AS n_repeated_blocks FROM blocks")
 def repeated_blocks(spark, sf_dir):
     return cleaned(shaped(spark, sf_dir, "blocks"), "repeated-blocks").select("user_id", "text", "n_repeated_blocks")
 
 
-@query()
+def changes_of(cleaner: str):
+    return F.coalesce(F.element_at("transformations", cleaner), F.lit(0)).cast("long")
+
+
+_TOKENS = r"CASE WHEN {0} = '' THEN 0 ELSE greatest(1, floor((length({0}) / 4 + len(regexp_extract_all({0}, '\S+'))) / 2 + 0.5)) END::BIGINT"
+
+
+@query(rf"""WITH made AS (SELECT user_id, 'tests' AS report, text AS o, n_test_output, 0 AS n_stack_trace FROM ({_TESTS}) UNION ALL SELECT user_id, 'frames', text, 0, n_stack_trace FROM ({_FRAMES})),
+raw AS (SELECT user_id, 'tests' AS report, string_agg(CASE WHEN event_id % 9 = 0 THEN 'suite ' || event_type ELSE '  ✓ handles ' || event_type END, chr(10) ORDER BY event_id) AS text FROM events GROUP BY user_id
+  UNION ALL SELECT user_id, 'frames', string_agg(CASE WHEN event_id % 6 = 0 THEN 'Error: lost' ELSE '    at ' || event_type || ' (app.js:10:5)' END, chr(10) ORDER BY event_id) FROM events GROUP BY user_id),
+t AS (SELECT *, {_TOKENS.format('text')} AS a, {_TOKENS.format('o')} AS b FROM made JOIN raw USING (user_id, report))
+SELECT user_id, report, o AS optimized_text, {_SIZES}, a AS original_tokens, b AS optimized_tokens, a - b AS tokens_removed, {_PERCENT.format('a', 'b')} AS token_reduction_percentage, false AS exact, n_stack_trace::BIGINT AS stack_trace, n_test_output::BIGINT AS test_output FROM t""")
 def optimize_balanced(spark, sf_dir):
-    return opt.optimize(shaped(spark, sf_dir, "tests").unionByName(shaped(spark, sf_dir, "frames")), preset="balanced", tokens=True).select("user_id", "optimized_text", "stats", "transformations")
+    both = shaped(spark, sf_dir, "tests").withColumn("report", F.lit("tests")).unionByName(shaped(spark, sf_dir, "frames").withColumn("report", F.lit("frames")))
+    return opt.optimize(both, preset="balanced", tokens=True).select("user_id", "report", "optimized_text", "stats.*", changes_of("stack-trace").alias("stack_trace"), changes_of("test-output").alias("test_output"))
 
 
-@query()
+@query(rf"""{_BLOCKS} SELECT user_id, o AS optimized_text, {_SIZES}, '0,0,0,0,0,' || n AS changes, repeat('not-applicable,', 5) || CASE WHEN n > 0 THEN 'applied' ELSE 'not-applicable' END AS reasons FROM blocks""")
 def optimize_aggressive(spark, sf_dir):
-    return opt.optimize(shaped(spark, sf_dir, "blocks"), preset="aggressive").select("user_id", "optimized_text", "stats", "decisions")
+    out = opt.optimize(shaped(spark, sf_dir, "blocks"), preset="aggressive")
+    return out.select("user_id", "optimized_text", "stats.*", F.array_join(F.col("decisions.changes").cast("array<string>"), ",").alias("changes"), F.array_join("decisions.reason", ",").alias("reasons"))
 
 
 @query(r"""SELECT doc_id, length(text) AS size, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor((length(text) / 4 + len(regexp_extract_all(text, '[^\s\x0b]+'))) / 2 + 0.5)) END::BIGINT AS tokens FROM documents""")
@@ -201,16 +231,25 @@ def command_profile(spark, sf_dir):
     return e.select("event_id", "p.*")
 
 
-@query()
+@query(f"""{SAFE} SELECT id AS user_id, CASE WHEN id % 4 = 2 THEN '{{"user":[' || id || ',"a  b"]}}' ELSE o END AS optimized_text, CASE WHEN id % 4 = 2 THEN 'structured' WHEN id % 4 = 3 THEN 'generic' ELSE 'command' END AS strategy,
+  CASE WHEN id % 4 = 2 THEN 'json' ELSE 'text' END AS kind, id % 4 = 2 AS lexically_lossless, CASE id % 4 WHEN 0 THEN 'git' WHEN 1 THEN 'pytest' END AS executable,
+  CASE WHEN id % 4 = 2 THEN 'structured-json' ELSE 'ansi,whitespace,duplicate-lines,stack-trace,test-output,repeated-blocks' END AS cleaners FROM safe""")
 def context_router(spark, sf_dir):
-    rows = transcripts(spark, sf_dir).withColumn("command", F.when(F.col("user_id") % 2 == 0, "git log"))
-    return opt.optimize_context(rows, command="command").select("user_id", "optimized_text", "strategy", "kind")
+    kind = F.col("user_id") % 4
+    rows = transcripts(spark, sf_dir).withColumn("text", F.when(kind == 2, F.concat(F.lit('{ "user" : [ '), F.col("user_id").cast("string"), F.lit(',\n  "a  b" ] }\n'))).otherwise(F.col("text")))
+    rows = rows.withColumn("command", F.when(kind == 0, "git log").when(kind == 1, "pytest -q"))
+    out = opt.optimize_context(rows, command="command")
+    return out.select("user_id", "optimized_text", "strategy", "kind", "lexically_lossless", "command_profile.executable", F.array_join("decisions.cleaner", ",").alias("cleaners"))
 
 
-@query()
+@query(f"""WITH {T_DETECT.replace("ORDER BY event_id) AS text", "ORDER BY event_id) || chr(10) AS text")}, {_STRIP}, {_SPACE}, {_DUPES}
+SELECT id AS user_id, '# Log' || repeat(chr(10), 2) || '~~~' || chr(10) || 'kept   as it is' || chr(10) || '~~~' || chr(10) || '```console' || chr(10) || o || '```' || chr(10) || 'End.' || chr(10) AS optimized_text,
+  2 AS segments_found, (o <> text)::INT AS segments_optimized, 'console' AS language, o <> text AS changed, length(text) AS original_characters, length(o) AS optimized_characters, n_ansi AS ansi, n_white AS whitespace, n_dup AS duplicates FROM safe""")
 def markdown_segments(spark, sf_dir):
     rows = transcripts(spark, sf_dir).select("user_id", F.concat(F.lit("# Log\n\n~~~\nkept   as it is\n~~~\n```console\n"), "text", F.lit("\n```\nEnd.\n")).alias("text"))
-    return opt.optimize_segments(rows).select("user_id", "optimized_text", "segments")
+    out, part = opt.optimize_segments(rows), F.col("segments")[0]
+    about = [part[c].alias(c) for c in ("language", "changed", "original_characters", "optimized_characters")]
+    return out.select("user_id", "optimized_text", "segments_found", "segments_optimized", *about, changes_of("ansi").alias("ansi"), changes_of("whitespace").alias("whitespace"), changes_of("duplicate-lines").alias("duplicates"))
 
 
 @query("""SELECT conv_id, coalesce(sum(length(text)) FILTER (role IN ('user', 'tool')), 0)::BIGINT AS original_characters, coalesce(sum(length(text)) FILTER (role IN ('user', 'tool')), 0)::BIGINT AS optimized_characters,
@@ -262,7 +301,13 @@ def budget_fit(spark, sf_dir):
     return context.fit_budget(rows, "conv_id", 200, required="req", index="turn").select("conv_id", "turn", "selected")
 
 
-@query()
+@query(rf"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS many, last(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM conversations),
+t AS (SELECT conv_id, turn, idx, text, {_TOKENS.format('text')} AS tokens, role = 'system' OR idx >= many - 2 AS req,
+  CASE WHEN len({_TERMS.format('q')}) = 0 THEN 0.0 ELSE len(list_intersect({_TERMS.format('text')}, {_TERMS.format('q')})) / len({_TERMS.format('q')}) END * 0.7 + (role = 'system')::INT * 0.2 + 0.0 * 0.1 AS score FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY req DESC, score / greatest(1, tokens) DESC, score DESC, idx) AS k FROM t),
+f AS (SELECT conv_id, k, tokens <= 300 AS selected, CASE WHEN tokens <= 300 THEN tokens ELSE 0 END AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.k, f.used + o.tokens <= 300, f.used + CASE WHEN f.used + o.tokens <= 300 THEN o.tokens ELSE 0 END FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1)
+SELECT conv_id, turn, tokens, selected, text AS compacted_text FROM f JOIN o USING (conv_id, k)""")
 def conversation_compact(spark, sf_dir):
     return context.compact_conversations(table(spark, sf_dir, "conversations"), 300).select("conv_id", "turn", "tokens", "selected", "compacted_text")
 
@@ -332,23 +377,57 @@ def access_log(spark, sf_dir):
     return e.select(F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), F.when(F.col("event_type") == "view", "get").otherwise("put").alias("op"), F.concat(F.lit("context "), (F.col("event_id") % 6).cast("string")).alias("text"))
 
 
-@query()
+_LOG = """log AS (SELECT user_id AS tenant, event_id AS seq, epoch_ms(ts)::DOUBLE AS now, event_type <> 'view' AS put, 'context ' || event_id % 6 AS text, sha256('context ' || event_id % 6) AS key,
+  'k' || event_id % 11 AS name, [(event_id % 5)::DOUBLE, 1.0::DOUBLE, (event_id % 3)::DOUBLE] AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"""
+
+
+# all texts have nine bytes, so that four entries stay below 40 bytes
+@query(f"""WITH RECURSIVE {_LOG}, s AS (SELECT DISTINCT tenant, 0::BIGINT AS k, []::STRUCT(key VARCHAR, until DOUBLE)[] AS e, NULL::BOOLEAN AS hit FROM log
+  UNION ALL SELECT tenant, k, CASE WHEN put THEN list_append(list_slice(live, greatest(1, len(live) - 2), len(live)), {{'key': key, 'until': now + 86400000.0}}) ELSE live END, CASE WHEN NOT put THEN len(list_filter(live, lambda x: x.key = mine)) > 0 END
+  FROM (SELECT log.*, log.key AS mine, list_filter(s.e, lambda x: CASE WHEN log.put THEN x.until > log.now AND x.key <> log.key ELSE x.until > log.now OR x.key <> log.key END) AS live FROM s JOIN log ON log.tenant = s.tenant AND log.k = s.k + 1))
+SELECT tenant, seq, CASE WHEN put THEN 'put' ELSE 'get' END AS op, key, hit, len(e)::BIGINT AS entries, 9 * len(e)::BIGINT AS bytes FROM s JOIN log USING (tenant, k)""")
 def store_replay(spark, sf_dir):
     return stores.replay_store(access_log(spark, sf_dir), max_entries=4, max_bytes=40, ttl=3_600_000.0 * 24)
 
 
-@query()
+_COSINE = "list_dot_product(x.v, {0}) / sqrt(list_dot_product(x.v, x.v) * list_dot_product({0}, {0}))"
+
+
+@query(f"""WITH RECURSIVE {_LOG}, s AS (SELECT DISTINCT tenant, 0::BIGINT AS k, []::STRUCT(name VARCHAR, v DOUBLE[], until DOUBLE)[] AS e, NULL::BOOLEAN AS exact, NULL::DOUBLE AS similarity FROM log
+  UNION ALL SELECT tenant, k, CASE WHEN exact OR best >= 0.95 THEN live ELSE list_append(list_slice(live, greatest(1, len(live) - 3), len(live)), {{'name': name, 'v': v, 'until': now + 604800000.0}}) END,
+    CASE WHEN exact THEN true WHEN best >= 0.95 THEN false END, CASE WHEN exact THEN 1.0 WHEN best >= 0.95 THEN best END
+  FROM (SELECT *, len(list_filter(live, lambda x: x.name = mine)) > 0 AS exact, list_max(list_transform(live, lambda x: {_COSINE.format('own')})) AS best
+    FROM (SELECT log.*, log.name AS mine, log.v AS own, list_filter(s.e, lambda x: x.until > log.now) AS live FROM s JOIN log ON log.tenant = s.tenant AND log.k = s.k + 1)))
+SELECT tenant, seq, exact IS NOT NULL AS hit, exact, similarity FROM s JOIN log USING (tenant, k)""")
 def semantic_cache_replay(spark, sf_dir):
     log = access_log(spark, sf_dir).withColumn("key", F.concat(F.lit("k"), (F.col("seq") % 11).cast("string"))).withColumn("embedding", F.array((F.col("seq") % 5).cast("double"), F.lit(1.0), (F.col("seq") % 3).cast("double")))
     return stores.replay_cache(log, max_entries=5, ttl=3_600_000.0 * 24 * 7)
 
 
-@query()
+@query(rf"""WITH {T_SQL}, p AS (SELECT user_id, string_split(text, chr(10)) AS x FROM transcripts),
+r AS (SELECT user_id, i, x[i] AS raw, CASE WHEN i < len(x) THEN chr(10) ELSE '' END AS eol FROM p, unnest(range(1, len(x) + 1)) AS z(i) WHERE i < len(x) OR x[i] <> ''),
+a AS (SELECT *, regexp_replace(raw, '\x1b\[[^\x40-\x7e]*[\x40-\x7e]', '', 'g') AS l, len(regexp_extract_all(raw, '\x1b\[[^\x40-\x7e]*[\x40-\x7e]')) AS n_ansi FROM r),
+b AS (SELECT *, regexp_replace(l, '[\t ]+$', '') AS c, regexp_matches(l, '[\t ]+$')::INT AS n_trail FROM a),
+g AS (SELECT *, CASE WHEN contains(c, '|') THEN c ELSE regexp_replace(c, '(\S) {{3,}}(\S)', '\1 \2', 'g') END AS line, n_trail + CASE WHEN contains(c, '|') THEN 0 ELSE len(regexp_extract_all(c, '(\S) {{3,}}(\S)')) END AS n_white FROM b),
+m AS (SELECT *, CASE WHEN i > 1 AND (line = '' AND lag(line) OVER o = '' OR line <> '' AND line || eol = lag(line || eol) OVER o) THEN 0 ELSE 1 END AS new FROM g WINDOW o AS (PARTITION BY user_id ORDER BY i)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS run FROM m),
+f AS (SELECT user_id, run, any_value(line) AS line, first(eol ORDER BY i) AS eol, count(*) AS n, sum(n_ansi) AS ansi, sum(n_white) AS white FROM k GROUP BY user_id, run),
+j AS (SELECT *, line <> '' AND n >= 2 AND NOT regexp_matches(line, '\[repeated [0-9]+ times\]$') AND NOT regexp_matches(line, '(?i)\b(error|warning|failed?|lost|closed|dead-letter|retrying|acknowledged|status)\b') AND length(line) * n > length(line) + length(' [repeated ' || n || ' times]') AS c FROM f)
+SELECT user_id::VARCHAR AS stream, string_agg(CASE WHEN line = '' THEN eol WHEN c THEN line || ' [repeated ' || n || ' times]' || eol ELSE repeat(line || eol, n) END, '' ORDER BY run) AS text,
+  sum(ansi)::BIGINT AS ansi, sum(white + CASE WHEN line = '' THEN n - 1 ELSE 0 END)::BIGINT AS whitespace, count(*) FILTER (c) AS duplicates FROM j GROUP BY user_id""")
 def terminal_stream(spark, sf_dir):
     return clean_batch(transcripts(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream"), F.lit(0).cast("long").alias("seq"), F.col("text").alias("chunk")))
 
 
-@query()
+_DECISION = """'{{"cleaner":"{0}","enabled":{1},"changes":' || {2} || ',"reason":"' || {3} || '"}}'"""
+_RAN = [_DECISION.format(c, "true", n, f"CASE WHEN {n} > 0 THEN 'applied' ELSE 'not-applicable' END") for c, n in (("ansi", "n_ansi"), ("whitespace", "n_white"), ("duplicate-lines", "n_dup"))]
+_DECISIONS = " || ',' || ".join([*_RAN, *(_DECISION.format(c, "false", "0", "'disabled-by-preset'") for c in opt.ORDER[3:])])
+_PAIRS = ", ".join(f"""CASE WHEN {n} > 0 THEN '"{c}":' || {n} END""" for c, n in (("ansi", "n_ansi"), ("whitespace", "n_white"), ("duplicate-lines", "n_dup")))
+
+
+@query(rf"""{SAFE} SELECT id AS user_id, '{{"schemaVersion":2,"preset":"safe","bytes":{{"original":' || strlen(text) || ',"optimized":' || strlen(o) || ',"removed":' || strlen(text) - strlen(o) || ',"reductionPercentage":' || floor((strlen(text) - strlen(o)) / strlen(text) * 10000 + 0.5) / 100
+  || '}},"stats":{{"originalCharacters":' || length(text) || ',"optimizedCharacters":' || length(o) || ',"charactersRemoved":' || length(text) - length(o) || ',"reductionPercentage":' || {_PERCENT.format('length(text)', 'length(o)')} || ',"transformations":{{' || concat_ws(',', {_PAIRS})
+  || '}},"detection":{{"type":"' || split_part(label, '/', 1) || '","confidence":"' || split_part(label, '/', 2) || '"}},"decisions":[' || {_DECISIONS} || ']}},"output":{{"included":true,"text":' || to_json(o)::VARCHAR || '}},"policy":{{"checked":false,"passed":true,"failures":[]}}}}' AS json FROM safe""")
 def json_envelope(spark, sf_dir):
     return opt.optimize(transcripts(spark, sf_dir)).select("user_id", envelope().alias("json"))
 
