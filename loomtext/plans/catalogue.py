@@ -206,7 +206,7 @@ def token_estimate(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN json_valid(props) AND regexp_matches(trim(props), '^[{\\[]') THEN 'json' ELSE 'text' END AS kind FROM events")
 def structured_kind(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", detect.structured_kind(F.col("props")).alias("kind"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "props")).select("event_id", detect.structured_kind(F.col("props")).alias("kind"))
 
 
 PRETTY = r"concat(' { ', '\n', '  \"type\" : \"', event_type, ' \\\" x\" ,', '\n', '  \"props\" : ', props, ' }', '\n')"
@@ -215,7 +215,7 @@ PRETTY = r"concat(' { ', '\n', '  \"type\" : \"', event_type, ' \\\" x\" ,', '\n
 @query(r"""SELECT event_id, 'json' AS kind, '{"type":"' || event_type || ' \" x","props":' || replace(props, ' ', '') || '}' AS optimized_text FROM events""")
 def json_compact(spark, sf_dir):
     pretty = F.concat(F.lit(' { \n  "type" : "'), "event_type", F.lit(' \\" x" ,\n  "props" : '), "props", F.lit(" }\n"))
-    return opt.optimize_structured(table(spark, sf_dir, "events").select("event_id", pretty.alias("text"))).select("event_id", "kind", "optimized_text")
+    return opt.optimize_structured(spread(table(spark, sf_dir, "events").select("event_id", pretty.alias("text")))).select("event_id", "kind", "optimized_text")
 
 
 _COMMAND = """CASE event_type WHEN 'click' THEN '/usr/bin/Git log -p' WHEN 'view' THEN 'npm run test --all' WHEN 'purchase' THEN 'pytest -q' WHEN 'error' THEN 'docker logs web' ELSE ' unknown-tool x' END"""
