@@ -151,6 +151,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_exact(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``; null and empty texts are one group. See ``exact_duplicates``."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 

@@ -80,7 +80,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(langs, idf, weights, temperature) from labelled rows.
 
     Document frequencies cover every row; weights are fitted on about ``sample_per_lang`` rows of each language, chosen by
-    a hash of the id. Languages beyond the ``most_langs`` most frequent are refused.
+    a hash of the id; null texts count as empty ones. Languages beyond the ``most_langs`` most frequent are refused.
     """
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -128,7 +128,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row; ``und`` with score 0 if the text is null or has no letter."""
+    """(id, lang_pred, score) for every row; ``und`` with score 0 if the text is null or has no letter.
+
+    Rows that repeat or share an id keep one each, an empty table gives no rows, other columns play no part. A model that saw no language says ``und``.
+    """
     langs, idf, w, temperature = model
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -152,6 +155,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, repeated ones too; ``held_out`` is null where doc_id is, and such rows are not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(crc_mod("doc_id", 4) != 2))
     out = predict(docs, model).withColumnRenamed("id", "doc_id")

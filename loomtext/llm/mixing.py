@@ -75,6 +75,7 @@ def mixed_rows(docs: DataFrame, **about) -> DataFrame:
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, also of those that the mix does not take; for odd rows see ``mix``."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 

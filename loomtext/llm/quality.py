@@ -82,7 +82,8 @@ def train(rows, epochs: int = 6, rate: float = 0.1, l2: float = 1e-4, seed: int
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_per_class: int = 2500):
     """The machine, fitted on about ``sample_per_class`` labelled rows of each class, chosen by a hash of the id.
 
-    Without labels of both classes, the model gives the share of label 1 (or one half) to all. The mean of the training margin
+    Of several labels of an id the largest counts; null labels and labels without a document are left out, and rows that repeat an id
+    are rows of their own. Without labels of both classes, the model gives the share of label 1 (or one half) to all. The mean of the training margin
     is moved so that scores follow the share of label 1 among all labels.
     """
     named = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -113,23 +114,28 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return float(w0), w, v
 
 
-def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``: 0 to 1, higher if label 1 is likelier; null and empty texts have one too."""
+def score(docs: DataFrame, model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``: 0 to 1, higher if label 1 is likelier; null and empty texts have one too.
+
+    Rows are scored one by one, so rows that repeat or share an id keep one each, and an empty table gives no rows. A column
+    that is called ``out`` already is replaced, all others pass through.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32), model[2].astype(np.float32)))
     rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    schema = docs.drop("score").withColumn("score", F.lit(0.5)).schema
+    schema = docs.drop(out).withColumn(out, F.lit(0.5)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for b in batches:
             p = [float(sigmoid(margin(*features(t.as_py()), model))) for t in b.column(b.num_columns - 1)]
-            kept = [(n, c) for n, c in zip(b.schema.names[:-1], b.columns[:-1]) if n != "score"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(p, pa.float64())], names=[*(n for n, _ in kept), "score"])
+            kept = [(n, c) for n, c in zip(b.schema.names[:-1], b.columns[:-1]) if n != out]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(p, pa.float64())], names=[*(n for n, _ in kept), out])
 
     return rows.mapInArrow(run, schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, repeated ones too; ``held_out`` is null where doc_id is. For odd texts and labels see ``score`` and ``fit``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 3) != 1)
     # the score only needs the text: rows carry their id

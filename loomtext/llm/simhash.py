@@ -187,5 +187,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **about) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, repeated ones too; null and blank texts have fingerprint 0 and form one component."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -277,6 +277,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``; of repeated rows of 35 words or more nothing is kept. See ``repeated_passages``."""
     out = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -179,5 +179,6 @@ def default_tokenizer() -> str:
 
 
 def op9_tokens(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, repeated ones too; a null or empty text is its end id alone. See ``write_tokens``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_tokens(write_tokens(docs, default_tokenizer())).withColumnRenamed("id", "doc_id")

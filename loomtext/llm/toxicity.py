@@ -309,13 +309,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row: 0 to 1, higher if label 1 is likelier; null, empty and blank texts score as no words."""
+    """(id, score) for every row: 0 to 1, higher if label 1 is likelier; null, empty and blank texts score as no words.
+
+    Rows that repeat or share an id keep one each, an empty table gives no rows, other columns play no part.
+    """
     rows = described(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
     z = sum((F.col("f")[i] * float(b) for i, b in enumerate(model.weights)), F.lit(0.0))
     return rows.select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, repeated ones too; ``held_out`` is null where doc_id is, and such rows are not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 4) != 2)
     model = fit(docs.where(crc_mod("doc_id", 4) != 2), labels)

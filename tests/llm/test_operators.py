@@ -594,3 +594,21 @@ def test_op2_op10_by_hand(spark):
     for r in got:
         p = quality_by_hand(text[r.doc_id], model)
         assert r.held_out == (fold[r.doc_id] % 3 == 1) and r.score == pytest.approx(p, abs=1e-4) and (r.predicted == (p >= 0.5) or abs(p - 0.5) < 1e-4)
+
+
+def test_scores_of_odd_rows(spark, docs):
+    """Repeated rows, clashing names, a very long text and empty tables, for the three classifiers."""
+    odd = docs.withColumns({"score": F.lit(7.0), "lang_pred": F.lit("clash"), "y": F.lit(1), "f": F.lit("clash"), "f0": F.lit(3)})
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "clash") for i in range(60)] + [(3, 0, 1, "twice"), (4, None, None, None)], "doc_id long, quality int, toxic int, id string")
+    n = docs.count()
+    machine = quality.fit(odd, labels)
+    out = quality.score(odd, machine)
+    assert out.columns == [*(c for c in odd.columns if c != "score"), "score"] and all(0 <= r.score <= 1 for r in out.collect())
+    kept = quality.score(odd, machine, out="own")
+    assert kept.columns == [*odd.columns, "own"] and {r.score for r in kept.collect()} == {7.0}
+    for got in (out, langid.predict(odd, langid.fit(odd)).withColumnRenamed("id", "doc_id"), toxicity.score(odd, toxicity.fit(odd, labels)).withColumnRenamed("id", "doc_id")):
+        scored = [(r.doc_id, r.score) for r in got.collect()]
+        assert len(scored) == n and Counter(i for i, _ in scored)[7] == 2 and len({s for i, s in scored if i == 7}) == 1
+    none = toxicity.fit(empty(spark), labels)
+    assert {r.score < 0.5 for r in toxicity.score(docs, none).collect()} == {True} and toxicity.score(empty(spark), none).count() == 0
+    assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score >= 0.5").count() == 0
