@@ -42,7 +42,8 @@ def join_lines(parts: Column, eol: Column) -> Column:
 def percentage(removed: Column, total: Column, digits: int = 1) -> Column:
     """Share in percent, halves rounded up; 0 where the total is not positive."""
     scale = 10.0**digits
-    return F.when(total <= 0, F.lit(0.0)).otherwise(F.floor(removed / total * 100 * scale + 0.5) / scale)
+    # one product: 23 / 80 * 100 * 10 is just below a half that 23 / 80 * 1000 reaches
+    return F.when(total <= 0, F.lit(0.0)).otherwise(F.floor(removed / total * (100 * scale) + 0.5) / scale)
 
 
 def estimate_tokens(t: Column) -> Column:

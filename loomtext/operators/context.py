@@ -319,7 +319,9 @@ def cache_aware_prompt(df: DataFrame, stable: str, conv: str = "conv_id", turn:
 
 
 def cache_hit_percentage(hits: Column, misses: Column) -> Column:
-    return percentage(hits, hits + misses, 2)
+    # twice 100, as the query's SQL: one factor of 10,000 rounds other halves
+    total = hits + misses
+    return F.when(total <= 0, F.lit(0.0)).otherwise(F.floor(hits / total * 100 * 100 + 0.5) / 100)
 
 
 def quality_cases(df: DataFrame, run: Callable, score: Callable, text: str = "text", preset: str = "safe", **about) -> DataFrame:
